@@ -76,28 +76,25 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
-        """The words of each text joined by one space, all texts in a row, and the words' spans there."""
-        n = self.start.size
-        after = np.zeros(n, np.int64)
-        after[:-1] = 1
-        last = self.first[1:][self.counts > 0] - 1
-        after[last] = 0
-        size = self.end - self.start
-        start = np.cumsum(size + after) - size - after
-        keep = np.zeros(self.raw.size + 1, bool)
-        keep[:-1] = False
-        marks = np.zeros(self.raw.size + 1, np.int32)
-        np.add.at(marks, self.start, 1)
-        np.add.at(marks, self.end, -1)
-        keep = np.cumsum(marks, dtype=np.int32) > 0
-        gaps = self.end[after == 1]
-        touched = keep[gaps] if gaps.size else np.zeros(0, bool)
-        assert not touched.any()
+    def joined(self, kept: np.ndarray | None = None) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The words (those of the mask ``kept``) of each text joined by one space, all texts in a row, and the words' spans there."""
+        first, start, end = self.first, self.start, self.end
+        if kept is not None:
+            first = np.concatenate(([0], np.cumsum(kept)))[first]
+            start, end = start[kept], end[kept]
+        after = np.ones(start.size, np.int64)  # a space follows each word but the last of a text
+        after[first[1:][np.diff(first) > 0] - 1] = 0
+        inside = np.zeros(self.raw.size + 1, np.int8)
+        inside[start] = 1
+        inside[end] -= 1
+        inside = np.cumsum(inside, dtype=np.int8).view(bool)
+        gaps = end[after == 1]
         out = np.append(self.raw, np.uint8(0))
         out[gaps] = 0x20
-        keep[gaps] = True
-        return out[keep].tobytes(), start, start + size
+        inside[gaps] = True
+        size = end - start + after
+        begin = np.cumsum(size) - size
+        return out[inside].tobytes(), begin, begin + end - start
 
     def hashes(self) -> np.ndarray:
         """A mixed 64-bit hash for each word: the same word, the same hash, in any batch."""
