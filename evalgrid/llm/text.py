@@ -71,6 +71,7 @@ class Words:
             stop[edges - 1] = within[edges - 1]
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
         self.first = np.searchsorted(self.start, self.offsets)
+        self._sums: np.ndarray | None = None
 
     @property
     def counts(self) -> np.ndarray:
@@ -96,12 +97,17 @@ class Words:
         begin = np.cumsum(size) - size
         return out[inside].tobytes(), begin, begin + end - start
 
-    def hashes(self) -> np.ndarray:
-        """A mixed 64-bit hash for each word: the same word, the same hash, in any batch."""
+    def hashes(self, beginning: int = 0) -> np.ndarray:
+        """A mixed 64-bit hash for each word: the same word, the same hash, in any batch.
+
+        ``beginning``: of so many first bytes instead, where a word has more, and unlike that of a word.
+        """
         power, inverse = powers(_BASE, self.raw.size + 1)
-        sums = prefix(self.raw.astype(np.uint64) + np.uint64(1), power)
-        h = (sums[self.end] - sums[self.start]) * inverse[self.start]
-        return mix(h ^ ((self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        if self._sums is None:
+            self._sums = prefix(self.raw.astype(np.uint64) + np.uint64(1), power)
+        end = np.minimum(self.start + beginning, self.end) if beginning else self.end
+        h = (self._sums[end] - self._sums[self.start]) * inverse[self.start]
+        return mix(h ^ ((end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(beginning))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
