@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicate_vectors
+
+    return near_duplicate_vectors(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
@@ -41,6 +47,27 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def held_out() -> Column:
+    """The fold of documents whose labels nothing is learned from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame):
+    """The toxicity model learned from the labelled rows of ``docs`` outside the held-out fold."""
+    from .toxicity import fit
+
+    known = labels.where(~held_out() & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("label"))
+    return fit(spark, docs, docs.select("doc_id", "text").join(known, "doc_id"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    docs = _table(spark, sf_dir, "documents")
+    found = score(spark, docs, toxicity_model(spark, docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import dedup_substrings
 
@@ -48,7 +75,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-_ALL = (op1_simhash, op2_decontaminate, op5_token_counts, op8_line_dedup, op10_substring_dedup)
+_ALL = (op1_simhash, op2_decontaminate, op5_token_counts, op6_embedding_dedup, op8_line_dedup, op9_toxicity, op10_substring_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

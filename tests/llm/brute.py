@@ -83,3 +83,17 @@ def op10(docs, size=35):
         gone = {j for k in range(len(words) - size + 1) if seen[tuple(words[k : k + size])] > 1 for j in range(k, k + size)}
         out.append((i, len(words), len(gone), sha(" ".join(w for j, w in enumerate(words) if j not in gone))))
     return out
+
+
+def op6(vectors, threshold=0.93):
+    import numpy as np
+
+    unit = {}
+    for i, v, label in vectors:
+        x = np.array([np.nan if c is None else c for c in v or ()], float)
+        if label is not None and x.size and np.isfinite(x).all() and x.any():
+            unit[i] = (label, x.size, x / np.linalg.norm(x))
+    linked = [(a, b) for a in unit for b in unit if a < b and unit[a][:2] == unit[b][:2] and unit[a][2] @ unit[b][2] >= threshold]
+    root = components([i for i, _, _ in vectors], linked)
+    n = Counter(x for pair in linked for x in pair)
+    return {(i, n[i], root[i], root[i] == i) for i, _, _ in vectors}
