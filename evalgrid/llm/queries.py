@@ -28,6 +28,31 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, all_spans, personal_data
+    from .spans import listed
+
+    found = personal_data(spark, _table(spark, sf_dir, "documents"))
+    counts = [_count(k) for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(all_spans()).alias("spans"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import RULES, secrets
+    from .spans import listed
+
+    found = secrets(spark, _table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in RULES]
+    rank = F.array(*[F.lit(k) for k in kinds])
+    both = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), F.array_position(rank, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    counts = [_count(r.kind) for r in RULES if r.base]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(both).alias("spans"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_counts, vocabulary_path
 
@@ -40,6 +65,25 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(spark, _table(spark, sf_dir, "embeddings"))
 
 
+#: Target shares of the domains (languages) in the mix.
+MIX = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def domain_model(spark: SparkSession, docs: DataFrame, labels: DataFrame):
+    """The classifier of domains (languages) learned from the documents in the labelled table."""
+    from .mixing import fit_domains
+
+    known = docs.select("doc_id", "text", F.col("lang").alias("domain")).join(labels.select("doc_id").distinct(), "doc_id")
+    return fit_domains(spark, known)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    docs = _table(spark, sf_dir, "documents")
+    return mix(spark, docs, domain_model(spark, docs, _table(spark, sf_dir, "labels")), MIX)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
@@ -75,7 +119,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-_ALL = (op1_simhash, op2_decontaminate, op5_token_counts, op6_embedding_dedup, op8_line_dedup, op9_toxicity, op10_substring_dedup)
+_ALL = (op1_simhash, op2_decontaminate, op3_personal_data, op4_secrets, op5_token_counts, op6_embedding_dedup, op7_mixing, op8_line_dedup, op9_toxicity, op10_substring_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -97,3 +97,41 @@ def op6(vectors, threshold=0.93):
     root = components([i for i, _, _ in vectors], linked)
     n = Counter(x for pair in linked for x in pair)
     return {(i, n[i], root[i], root[i] == i) for i, _, _ in vectors}
+
+
+def _luhn(number):
+    each = [int(c) for c in reversed(number)]
+    return (sum(each[::2]) + sum(d * 2 - 9 * (d > 4) for d in each[1::2])) % 10 == 0
+
+
+def op3(docs):
+    """Base spans only: (doc_id, counts, digest, base spans)."""
+    count = lambda s: sum(c in "0123456789" for c in s)
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= count(s) <= 19 and _luhn(re.sub("[^0-9]", "", s))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= count(s) <= 15),
+    }
+    out = {}
+    for i, text in docs:
+        found = [(k, m.start(), m.end()) for k, (pattern, ok) in rules.items() for m in re.finditer(pattern, text or "") if ok(m[0])]
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+        n = Counter(k for k, _, _ in found)
+        out[i] = (n["email"], n["ip"], n["card"], n["phone"], sha(base), base)
+    return out
+
+
+def op4(docs):
+    rules = (
+        ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
+    )
+    out = {}
+    for i, text in docs:
+        found = sorted((m.start(), r, k, m.end()) for r, (k, pattern, ok) in enumerate(rules) for m in re.finditer(pattern, text or "") if ok(m))
+        base = ",".join(f"{k}:{a}:{b}" for a, _, k, b in found)
+        n = Counter(k for _, _, k, _ in found)
+        out[i] = (n["assign"], n["access"], n["hex"], sha(base), base)
+    return out
