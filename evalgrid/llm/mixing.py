@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .scratch import Scratch
 from .text import Words, byte_table, slices
@@ -121,8 +122,8 @@ def _rates(p: np.ndarray, gaps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarra
     return rate, ahead
 
 
-def mix(spark: SparkSession, docs: DataFrame, model: DomainModel, targets: dict[str, float], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, rate, copies, domain) for every row.
+def mix(spark: SparkSession, docs: DataFrame, model: DomainModel, targets: dict[str, float], text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, rate, copies, domain) for every row, and the columns ``carry``.
 
     Rates r >= 0 minimise, over all documents with n tokens (words) and posteriors p, the squared
     gaps between the expected domain totals sum(r n p) and the targets (``targets`` made to sum to
@@ -138,13 +139,16 @@ def mix(spark: SparkSession, docs: DataFrame, model: DomainModel, targets: dict[
     shared = spark.sparkContext.broadcast(model)
     k = len(model.domains)
 
-    def posteriors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def posteriors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for batch in batches:
             for part in slices(batch):
                 n, mean = shared.value.log_odds(part, 1)
-                p = shared.value.posterior(n, mean) if k else np.zeros((n.size, 0))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n.size + 1, dtype=np.int32) * k), pa.array(p.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), lists], ["doc_id", "n", "p"])
+                yield part, n, shared.value.posterior(n, mean) if k else np.zeros((n.size, 0))
+
+    def posteriors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, n, p in posteriors_of(batches):
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n.size + 1, dtype=np.int32) * k), pa.array(p.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), lists], ["doc_id", "n", "p"])
 
     soft = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(posteriors, "doc_id long, n long, p array<double>")
     soft = scratch.write(soft)
@@ -180,15 +184,28 @@ def mix(spark: SparkSession, docs: DataFrame, model: DomainModel, targets: dict[
         before = now
         gaps.append(now - want)
 
+    names = np.array([*model.domains, None], object)
+
+    def decided(doc: pa.Array, n: pa.Array, p: np.ndarray, more: list[pa.Array]) -> pa.RecordBatch:
+        top = p.argmax(axis=1) if k else np.full(p.shape[0], -1)
+        arrays = [doc, n, pa.array(_rates(p, gaps)[0]), pa.array(names[top].tolist(), pa.string()), *more]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "rate", "domain", *(carry if more else ())])
+
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*model.domains, None], object)
         for batch in batches:
             if batch.num_rows:
-                p = memberships(batch)
-                r = _rates(p, gaps)[0]
-                top = p.argmax(axis=1) if k else np.full(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(r), pa.array(names[top].tolist(), pa.string())], ["doc_id", "n_tokens", "rate", "domain"])
-
-    out = soft.mapInArrow(final, "doc_id long, n_tokens long, rate double, domain string")
+                yield decided(batch.column(0), batch.column(1), memberships(batch), [])
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in posteriors_of(batches):
+            part, n, p = batch
+            yield decided(part.column(0), pa.array(n.astype(np.int64)), p, part.columns[2:])
+
+    schema = StructType.fromDDL("doc_id long, n_tokens long, rate double, domain string")
+    if carry:  # posteriors anew rather than a join that would move the texts
+        whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry)
+        out = whole.mapInArrow(carried, StructType([*schema.fields, *whole.schema.fields[2:]]))
+    else:
+        out = soft.mapInArrow(final, schema)
     chance = F.pmod(F.xxhash64(F.lit("mixing"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return out.select("doc_id", "n_tokens", "rate", F.floor(F.col("rate") + chance).cast("int").alias("copies"), "domain")
+    return out.select("doc_id", "n_tokens", "rate", F.floor(F.col("rate") + chance).cast("int").alias("copies"), "domain", *carry)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .scratch import Scratch
 from .text import Windows, Words, byte_table, mix, signed, slices, starts
@@ -296,8 +297,8 @@ def fit(spark: SparkSession, docs: DataFrame, examples: DataFrame, text: str = "
     return model
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, score, neighbours) for every row: the calibrated vote of the nearest examples.
+def score(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, score, neighbours) for every row, and the columns ``carry``: the calibrated vote of the nearest examples.
 
     ``neighbours`` counts (positive, negative, in the three nearest groups) as evidence. Texts that
     share no term with the examples, empty and null ones among them, get the share of positive
@@ -322,7 +323,8 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text"
                     out.append(known[key][0])
                     evidence.append(known[key][1])
                 kind = pa.list_(pa.struct([("positive", pa.float64()), ("negative", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "neighbours"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64()), pa.array(evidence, kind), *part.columns[2:]], ["doc_id", "score", "neighbours", *carry])
 
-    schema = "doc_id long, score double, neighbours array<struct<positive: double, negative: double>>"
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry)
+    schema = StructType.fromDDL("doc_id long, score double, neighbours array<struct<positive: double, negative: double>>")
+    return source.mapInArrow(run, StructType([*schema.fields, *source.schema.fields[2:]]))
