@@ -141,7 +141,7 @@ def mix(spark: SparkSession, docs: DataFrame, model: DomainModel, targets: dict[
 
     def posteriors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "_text"):
                 n, mean = shared.value.log_odds(part, 1)
                 yield part, n, shared.value.posterior(n, mean) if k else np.zeros((n.size, 0))
 
@@ -150,7 +150,7 @@ def mix(spark: SparkSession, docs: DataFrame, model: DomainModel, targets: dict[
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n.size + 1, dtype=np.int32) * k), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), lists], ["doc_id", "n", "p"])
 
-    soft = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(posteriors, "doc_id long, n long, p array<double>")
+    soft = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text")).mapInArrow(posteriors, "doc_id long, n long, p array<double>")
     soft = scratch.write(soft)
     want = np.array([max(float(targets.get(d, 0.0)), 0.0) for d in model.domains])
     want = want / want.sum() if want.sum() > 0 else want
@@ -203,7 +203,7 @@ def mix(spark: SparkSession, docs: DataFrame, model: DomainModel, targets: dict[
 
     schema = StructType.fromDDL("doc_id long, n_tokens long, rate double, domain string")
     if carry:  # posteriors anew rather than a join that would move the texts
-        whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry)
+        whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text"), *carry)
         out = whole.mapInArrow(carried, StructType([*schema.fields, *whole.schema.fields[2:]]))
     else:
         out = soft.mapInArrow(final, schema)

@@ -43,11 +43,11 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.written = 0
         atexit.register(self._end)
 
     def write(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/t{len(self.paths)}"
+        path, self.written = f"{self.base}/t{self.written}", self.written + 1
         before = self.spark.conf.get(_CLEANUP, None)
         self.spark.conf.set(_CLEANUP, "true")
         try:
@@ -55,7 +55,6 @@ class Scratch:
         finally:
             self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._evalgrid_scratch = path
         return out
 

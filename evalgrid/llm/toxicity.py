@@ -311,7 +311,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text"
         known: dict[tuple, tuple[float, list]] = {}
         m = shared.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "_text"):
                 out, evidence = [], []
                 for terms in m.vocabulary.lists(part, 1):
                     key = tuple(terms)
@@ -325,6 +325,6 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text"
                 kind = pa.list_(pa.struct([("positive", pa.float64()), ("negative", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64()), pa.array(evidence, kind), *part.columns[2:]], ["doc_id", "score", "neighbours", *carry])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry)
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text"), *carry)
     schema = StructType.fromDDL("doc_id long, score double, neighbours array<struct<positive: double, negative: double>>")
     return source.mapInArrow(run, StructType([*schema.fields, *source.schema.fields[2:]]))
