@@ -14,9 +14,12 @@ from .scratch import Scratch
 from .simhash import fingerprint_links, fingerprints
 from .text import Windows, Words, byte_table, mix, signed, slices
 
-#: Sampled fingerprints of a text, each over so many shingles drawn by least hash: at Jaccard
-#: similarity 0.8 a pair shares one with probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997.
-SAMPLES, DRAWN = 8, 3
+#: Shingles drawn from a text by least hash, and the triples of them that make a sampled
+#: fingerprint: two ways to part the draws, any two triples with one draw in common at most. At
+#: Jaccard similarity 0.8 a pair shares none with probability about (1 - 0.8 ** 3) ** 16 = 1e-5.
+DRAWS = 24
+TRIPLES = [(3 * i, 3 * i + 1, 3 * i + 2) for i in range(8)] + [(i, i + 8, i + 16) for i in range(8)]
+SAMPLES = len(TRIPLES)
 #: Texts and shingles in one block of a candidate group.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
 _SPACE = byte_table("space")
@@ -52,8 +55,9 @@ def _sketch(shingle: int):
                 some = np.unique(text)
                 cut = np.searchsorted(text, some)
                 samples = np.zeros((part.num_rows, SAMPLES), np.uint64)
-                for s in range(SAMPLES if some.size else 0):
-                    x, y, z = (np.minimum.reduceat(mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (s * DRAWN + d + 1) & (1 << 64) - 1)), cut) for d in range(DRAWN))
+                draws = [np.minimum.reduceat(mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (d + 1) & (1 << 64) - 1)), cut) for d in range(DRAWS if some.size else 0)]
+                for s, triple in enumerate(TRIPLES if draws else ()):
+                    x, y, z = (draws[d] for d in triple)
                     samples[some, s] = (x & y) | (x & z) | (y & z)  # the SimHash of three features
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * SAMPLES), pa.array(signed(samples.ravel())))
                 whole = signed(fingerprints(part.column(1), shingle))

@@ -130,8 +130,18 @@ def op4(docs):
     )
     out = {}
     for i, text in docs:
-        found = sorted((m.start(), r, k, m.end()) for r, (k, pattern, ok) in enumerate(rules) for m in re.finditer(pattern, text or "") if ok(m))
+        found = sorted((m.start(), r, k, m.end()) for r, (k, pattern, ok) in enumerate(rules) for m in re.finditer(pattern, text or "", re.ASCII) if ok(m))
         base = ",".join(f"{k}:{a}:{b}" for a, _, k, b in found)
         n = Counter(k for _, _, k, _ in found)
         out[i] = (n["assign"], n["access"], n["hex"], sha(base), base)
     return out
+
+
+def near_copies(docs, shingle=5, similarity=0.8):
+    """Smallest doc_id of each document's group."""
+    sets = {}
+    for i, text in docs:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(_LOWER))
+        sets[i] = {tuple(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))} if words else set()
+    alike = lambda a, b: a == b or bool(a and b) and len(a & b) >= similarity * len(a | b) - 1e-9
+    return components(sets, ((a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])))
