@@ -98,10 +98,15 @@ def held_out() -> Column:
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame):
     """The toxicity model learned from the labelled rows of ``docs`` outside the held-out fold."""
-    from .toxicity import fit
-
-    known = labels.where(~held_out() & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("label"))
-    return fit(spark, docs, docs.select("doc_id", "text").join(known, "doc_id"))
+    from .toxicity import EXAMPLES, fit
+
+    known = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("label")).distinct()
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    few = F.lit(False)
+    for label, n in sizes.items():  # about EXAMPLES rows of each class, by a hash of the doc_id
+        few = few | ((F.col("label") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < max(1, int(1_000_003 * min(1.0, EXAMPLES / n)))))
+    # At most some 2 * EXAMPLES rows of two numbers.
+    return fit(spark, docs, docs.select("doc_id", "text").join(F.broadcast(known.where(few)), "doc_id"), labelled=sizes)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

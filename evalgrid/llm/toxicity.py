@@ -14,7 +14,7 @@ from .scratch import Scratch
 from .text import Windows, Words, byte_table, mix, signed, slices, starts
 
 #: About so many labelled texts of each class serve as examples, and so many terms as features.
-EXAMPLES, TERMS = 10_000, 2_048
+EXAMPLES, TERMS = 10_000, 384
 #: Bytes of the word beginnings that are features beside whole words, and the counts that make a term of its own.
 BEGINNINGS, LEVELS = (5, 6, 7, 8), (1, 2, 4)
 #: Least chi-square of a term against the label (one in 400,000 by chance), least examples with it.
@@ -120,56 +120,67 @@ class Vocabulary:
 class BlockMaxIndex:
     """Example vectors as postings by term, with the largest weight of a term in each block.
 
-    ``nearest`` is exact: blocks are read in the order of their bounds (query weight times largest
-    weight, summed over terms) until no unread block can hold a better example.
+    ``nearest`` is exact: the blocks of the highest bounds (query weight times largest weight,
+    summed over terms) give the k-th best cosine so far, and every block whose bound reaches it is
+    read; no other block can hold a better example.
     """
 
     def __init__(self, vectors: list[list[tuple[int, float]]], terms: int):
         self.size = len(vectors)
-        blocks = -(-self.size // BLOCK)
+        self.blocks = max(1, -(-self.size // BLOCK))
         postings: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
         for i, vector in enumerate(vectors):
             for t, w in vector:
                 postings[t].append((i, w))
         self.ids = [np.array([i for i, _ in p], np.int64) for p in postings]
         self.weights = [np.array([w for _, w in p]) for p in postings]
-        self.bounds = np.zeros((terms, blocks), np.float32)
+        self.bounds = np.zeros((terms, self.blocks))
         for t, (ids, weights) in enumerate(zip(self.ids, self.weights, strict=True)):
-            np.maximum.at(self.bounds[t], ids // BLOCK, np.nextafter(weights.astype(np.float32), np.float32(2)))
+            np.maximum.at(self.bounds[t], ids // BLOCK, weights)
 
     def nearest(self, query: list[tuple[int, float]], mass: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines, best first, that hold the first k examples (``mass``: examples in each vector)."""
         terms, q = [t for t, _ in query], np.array([w for _, w in query])
-        bound = q @ self.bounds[terms] if terms else np.zeros(0)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        scores, read, best = np.zeros(self.size), 0, np.zeros(0, np.int64)
-        take = 4
-        while read < order.size:
-            chosen = np.zeros(self.bounds.shape[1], bool)
-            chosen[order[read : read + take]] = True
-            for t, w in query:
-                mine = chosen[self.ids[t] // BLOCK]
-                scores[self.ids[t][mine]] += w * self.weights[t][mine]
-            read, take = read + take, take * 2
-            best = np.flatnonzero(scores)
-            best = best[np.lexsort((best, -scores[best]))]
-            best = best[: int(np.searchsorted(np.cumsum(mass[best]), k)) + 1]
-            if read < order.size and mass[best].sum() >= k and bound[order[read]] < scores[best[-1]]:
-                break
+        bound = q @ self.bounds[terms] * (1 + 1e-12)
+        ids = np.concatenate([self.ids[t] for t in terms])
+        parts = np.concatenate([w * self.weights[t] for t, w in query])
+        least, first = 0.0, 8
+        if self.blocks > first:
+            top = np.argpartition(-bound, first - 1)[:first]
+            chosen = np.zeros(self.blocks, bool)
+            chosen[top] = True
+            found, scores = self._read(ids, parts, chosen, mass, k)
+            if mass[found].sum() >= k:
+                least = scores[-1]
+        return self._read(ids, parts, (bound >= least) & (bound > 0), mass, k)
+
+    def _read(self, ids: np.ndarray, parts: np.ndarray, chosen: np.ndarray, mass: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        mine = chosen[ids // BLOCK]
+        scores = np.bincount(ids[mine], weights=parts[mine], minlength=self.size)
+        best = np.flatnonzero(scores)
+        if best.size > 4 * k:  # vectors hold an example at least, so k of them do
+            cut = np.partition(scores[best], best.size - k)[best.size - k]
+            best = best[scores[best] >= cut]
+        best = best[np.lexsort((best, -scores[best]))]
+        best = best[: int(np.searchsorted(np.cumsum(mass[best]), k)) + 1]
         return best, scores[best]
 
 
 class Model:
-    """Examples grouped by equal vectors, their index, and the calibration of the votes."""
+    """Examples grouped by equal vectors, their index, and the calibration of the votes.
+
+    ``factor``: labelled texts for each example of a class, negative and positive.
+    """
 
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, examples: list[tuple[list[int], float, float]]):
+    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, examples: list[tuple[list[int], int, int]], factor: tuple[float, float]):
         self.vocabulary, self.idf = vocabulary, idf
         self.vectors = [self.weigh(v) for v, _, _ in examples]
-        self.pos, self.neg = np.array([p for _, p, _ in examples]), np.array([n for _, _, n in examples])
+        self.pos, self.neg = np.array([p for _, p, _ in examples], float), np.array([n for _, _, n in examples], float)
+        self.factor = factor
         self.index = BlockMaxIndex(self.vectors, vocabulary.size)
         none = [i for i, v in enumerate(self.vectors) if not v]
-        self.base = (self.pos[none].sum() + 0.5) / (self.pos[none].sum() + self.neg[none].sum() + 1) if len(examples) else 0.5
+        pos, neg = self.pos[none].sum() * factor[1], self.neg[none].sum() * factor[0]
+        self.base = float((pos + 0.5) / (pos + neg + 1))
         self.line = (0.0, 1.0)
         self.line = self._calibrated()
 
@@ -186,18 +197,21 @@ class Model:
             pos, neg = pos.copy(), neg.copy()
             (pos if positive else neg)[but] -= 1
         if not vector:
-            return (self.base * PRIOR) / PRIOR, []
-        found, cosine = self.index.nearest(vector, pos + neg, NEIGHBOURS)
-        n = pos[found] + neg[found]
+            return self.base, []
+        n = pos + neg
+        found, cosine = self.index.nearest(vector, n, NEIGHBOURS)
+        n = n[found]
         left = NEIGHBOURS - (np.cumsum(n) - n)
         share = np.minimum(n, left) / np.maximum(n, 1e-9) * cosine**2
-        return float((share @ pos[found] + PRIOR * self.base) / (share @ n + PRIOR)), found[:3].tolist()
+        yes, no = share @ pos[found] * self.factor[1], share @ neg[found] * self.factor[0]
+        prior = PRIOR * max(self.factor)
+        return float((yes + prior * self.base) / (yes + no + prior)), found[:3].tolist()
 
     def _calibrated(self) -> tuple[float, float]:
         """Logistic line through the votes that each example gets from the others (a, b), classes weighted as they are."""
         xs, ys, ws = [], [], []
         for i, v in enumerate(self.vectors):
-            for positive, n in ((True, self.pos[i]), (False, self.neg[i])):
+            for positive, n in ((True, self.pos[i] * self.factor[1]), (False, self.neg[i] * self.factor[0])):
                 if n > 0:
                     p = min(max(self.vote(v, i, positive)[0], 1e-4), 1 - 1e-4)
                     xs.append(np.log(p / (1 - p)))
@@ -225,12 +239,13 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.line[0] + self.line[1] * np.log(p / (1 - p)), -30, 30)))), found
 
 
-def fit(spark: SparkSession, docs: DataFrame, examples: DataFrame, text: str = "text", label: str = "label", most: int = EXAMPLES) -> Model:
+def fit(spark: SparkSession, docs: DataFrame, examples: DataFrame, text: str = "text", label: str = "label", most: int = EXAMPLES, labelled: dict[int, int] | None = None) -> Model:
     """A model from ``examples`` (text, label 0/1) with corpus statistics of all ``docs``.
 
     About ``most`` distinct texts of each class are examples, chosen by a hash of the text; the
     features are the up to TERMS words that depend most on the label (chi-square) among them.
-    Rows with a null label are left out. Document frequencies are counted over all of ``docs``.
+    Rows with a null label are left out. ``labelled``: rows of each class, if ``examples`` are a
+    sample of them already. Document frequencies are counted over all of ``docs``.
     """
     scratch = Scratch(spark, "toxicity")
     texts = examples.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
@@ -288,10 +303,8 @@ def fit(spark: SparkSession, docs: DataFrame, examples: DataFrame, text: str = "
     idf = np.log((1 + size) / (1 + np.array([df.get(i, 0) for i in range(hashes.size)], float))) + 1
     grouped = chosen.mapInArrow(vectors, "vector string, label int").groupBy("vector").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).orderBy("vector").collect()
     parsed = [([int(x) for x in r["vector"].split(",") if x], r["pos"], r["n"] - r["pos"]) for r in grouped]
-    # Classes count as often as they are among the labelled texts.
-    scale = {y: sizes.get(y, 0) / max(totals.get(y, 0), 1) for y in (0, 1)}
-    top = max(scale.values(), default=1) or 1
-    model = Model(vocabulary.value, idf, [(v, p * max(scale[1], 1e-9) / top if top > 1.5 else p, n * max(scale[0], 1e-9) / top if top > 1.5 else n) for v, p, n in parsed])
+    known = labelled or sizes
+    model = Model(vocabulary.value, idf, parsed, tuple(known.get(y, 0) / max(totals.get(y, 0), 1) for y in (0, 1)))
     vocabulary.unpersist()
     scratch.drop(chosen)
     return model
