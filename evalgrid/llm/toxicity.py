@@ -21,6 +21,9 @@ BEGINNINGS, LEVELS = (5, 6, 7, 8), (1, 2, 4)
 CHI_SQUARE, TERM_EXAMPLES = 22.0, 3
 #: Neighbours that vote, the weight of the prior among them, and examples in one block.
 NEIGHBOURS, PRIOR, BLOCK = 15, 1.0, 64
+#: Hashes by which near copies among the examples are told.
+SKETCHES = 6
+SKETCH_COLUMNS = [f"s{i}" for i in range(SKETCHES)]
 _ALNUM = byte_table("alnum")
 
 
@@ -65,23 +68,43 @@ def _low_bits(known: np.ndarray) -> np.ndarray:
     return _TABLES[id(known)]
 
 
+def _parents(known: np.ndarray):
+    """(child, parent): words and beginnings among ``known`` with a shorter beginning among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                words = Words(part.column(0), _ALNUM, lower=True)
+                size = words.end - words.start
+                shorter: list[tuple[np.ndarray, np.ndarray]] = []
+                for length in (*BEGINNINGS, 0):
+                    h = words.hashes(length)
+                    ok = np.isin(h, known) & ((size > length) if length else True)
+                    for parent, there in shorter:
+                        both = np.unique(np.stack([h[ok & there], parent[ok & there]]), axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array(signed(np.ascontiguousarray(x))) for x in both], ["child", "parent"])
+                    shorter.append((h, ok))
+
+    return run
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the least of two hashes over their runs of five words; near copies mostly share one."""
+    """Texts with the least of several hashes over their runs of five words; near copies share some."""
     for batch in batches:
         for part in slices(batch):
             words = Words(part.column(0), _ALNUM, lower=True)
             at, row = starts(words.first, 5)
             runs = Windows(words.hashes()).at(at, 5)
             least = []
-            for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179):
+            for salt in range(1, SKETCHES + 1):
                 out = np.zeros(part.num_rows, np.uint64)
                 some = np.flatnonzero(np.bincount(row, minlength=part.num_rows))
                 if some.size:
-                    out[some] = np.minimum.reduceat(mix(runs ^ np.uint64(salt)), np.searchsorted(row, some))
+                    out[some] = np.minimum.reduceat(mix(runs ^ np.uint64(salt * 0x1F83D9ABFB41BD6B & (1 << 64) - 1)), np.searchsorted(row, some))
                 short = np.setdiff1d(np.arange(part.num_rows), some)
                 out[short] = [hash_text(t) for t in part.column(0).take(pa.array(short)).to_pylist()]
                 least.append(pa.array(signed(out)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *least], ["text", "label", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([*part.columns, *least], ["text", "label", "h", *SKETCH_COLUMNS])
 
 
 def hash_text(text: str) -> int:
@@ -255,9 +278,14 @@ def fit(spark: SparkSession, docs: DataFrame, examples: DataFrame, text: str = "
     for value, n in sizes.items():
         if n > most:
             few = few & ((F.col("label") != value) | (F.pmod(F.col("h"), F.lit(1_000_003)) < int(1_000_003 * most / n)))
-    some = texts.where(few).dropDuplicates(["h", "label"]).select("text", "label").mapInArrow(_sketches, "text string, label int, s1 long, s2 long")
+    schema = f"text string, label int, h long, {', '.join(f'{c} long' for c in SKETCH_COLUMNS)}"
+    drawn = scratch.write(texts.where(few).dropDuplicates(["h", "label"]).select("text", "label", "h").mapInArrow(_sketches, schema))
     # One example of each family of near copies, or else the words of a large family look like evidence.
-    chosen = scratch.write(some.dropDuplicates(["s1", "label"]).dropDuplicates(["s2", "label"]).select("text", "label"))
+    single = drawn.drop("text")
+    for c in SKETCH_COLUMNS:
+        single = single.dropDuplicates([c, "label"])
+    # As bounded as the examples: about 2 * ``most`` rows of two numbers.
+    chosen = scratch.write(drawn.join(F.broadcast(single.select("h", "label")), ["h", "label"], "left_semi").select("text", "label"))
 
     def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +306,15 @@ def fit(spark: SparkSession, docs: DataFrame, examples: DataFrame, text: str = "
         counts = chosen.mapInArrow(term_counts, "term long, level int, pos long, neg long").groupBy("term", "level").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
         a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), n1 + n0
         chi = n * F.pow(a * (n0 - F.col("b")) - b * (n1 - F.col("a")), 2) / (n1 * n0 * (a + b) * F.greatest(n - a - b, F.lit(0.5)))
-        terms = counts.where(F.col("a") + F.col("b") >= TERM_EXAMPLES).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term", "level").limit(TERMS).collect()
+        strong = counts.where(F.col("a") + F.col("b") >= TERM_EXAMPLES).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE)
+        strong = strong.orderBy(F.desc("chi"), "term", "level").limit(8 * TERMS).collect()
+        known = np.unique(np.array([r["term"] for r in strong], np.int64).view(np.uint64))
+        above: dict[int, list[int]] = {}
+        for r in chosen.mapInArrow(_parents(known), "child long, parent long").distinct().collect():  # a few a term
+            above.setdefault(r["child"], []).append(r["parent"])
+        chi_of = {(r["term"], r["level"]): r["chi"] for r in strong}
+        # A word whose beginning says as much says nothing more.
+        terms = [r for r in strong if all(chi_of.get((p, r["level"]), 0.0) < r["chi"] for p in above.get(r["term"], ()))][:TERMS]
     hashes = np.array([r["term"] for r in terms], np.int64).view(np.uint64)
     vocabulary = spark.sparkContext.broadcast(Vocabulary(hashes, np.array([r["level"] for r in terms], np.int32)))
 
