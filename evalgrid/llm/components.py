@@ -13,8 +13,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
 
     Each round is a large star (every neighbour above a node is hung on the smallest neighbour)
     and a small star (the same for neighbours below). Rounds stop when the edges no longer
-    change; then they are stars around the roots. Minima are combined before the shuffle and the
-    joins back have one row a node on one side, so Spark splits a node with very many links.
+    change; then they are stars around the roots. Minima are combined before the shuffle and
+    written, a row a node: the joins back broadcast them when small, and otherwise have a plain
+    exchange on both sides, in which Spark splits a node with very many links.
     Loops, nulls and repeated edges are ignored.
     """
     a, b = F.col("a"), F.col("b")
@@ -28,12 +29,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
             )
         before = state
         both = kept.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(kept.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = scratch.write(both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        below = scratch.write(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(below, "a")
         small = small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).distinct()
         following = scratch.write(small)
-        scratch.drop(kept)
+        scratch.drop(kept, least, large, below)
         kept = following
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -235,7 +235,8 @@ def near_duplicate_vectors(spark: SparkSession, vectors: DataFrame, threshold: f
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     labels = nodes.join(roots, "node", "left").join(counts, "node", "left").select("label", "vector", "least", "n", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    labels = labels.join(labels.groupBy("root").agg(F.min("least").alias("component")), "root")
+    labels = scratch.write(labels)
+    labels = labels.join(scratch.write(labels.groupBy("root").agg(F.min("least").alias("component"))), "root")
     labels = scratch.write(labels.select("label", "vector", (F.col("links") + F.col("n") - 1).alias("n_links"), "component"))
     out = rows.join(labels, ["label", "vector"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component")).alias("component_id")

@@ -169,6 +169,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, shingle: int = 5, similari
     edges = scratch.write(cells.groupBy("group", "low", "high").applyInArrow(_trees(similarity), "a long, b long"))
     scratch.drop(sets)
     roots = connected_components(edges, scratch)
-    labels = nodes.join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
-    labels = scratch.write(labels.join(labels.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("digest", "component_id"))
+    labels = scratch.write(nodes.join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root")))
+    least = scratch.write(labels.groupBy("root").agg(F.min("least").alias("component_id")))
+    labels = scratch.write(labels.join(least, "root").select("digest", "component_id"))
     return rows.select("doc_id", "digest").join(labels, "digest").select("doc_id", "component_id")

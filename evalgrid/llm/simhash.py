@@ -112,7 +112,7 @@ def fingerprint_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     fingerprints to the smallest one. So no key makes pairs with the square of its size.
     """
     keys = scratch.write(fps.select("fp", F.explode(_keys(F.col("fp"))).alias("key")))
-    sizes = keys.groupBy("key").count().where("count > 1")
+    sizes = scratch.write(keys.groupBy("key").count().where("count > 1"))
     shared = scratch.write(keys.join(sizes, "key"))
     small = shared.where(F.col("count") <= PAIR_LIMIT).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("all"))
     pairs = small.select("key", F.posexplode("all").alias("i", "x"), "all").select("key", "x", F.explode(F.slice("all", F.col("i") + 2, PAIR_LIMIT)).alias("y"))
@@ -127,7 +127,7 @@ def fingerprint_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     hubs = near.groupBy("key", "at").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     hung = near.join(hubs, ["key", "at"]).where("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
     links = scratch.write(close.unionByName(hung))
-    scratch.drop(keys, shared)
+    scratch.drop(keys, sizes, shared)
     return links
 
 
@@ -152,6 +152,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, text
     classes = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = fingerprint_links(classes.select("fp"), scratch)
     roots = connected_components(links, scratch).withColumnRenamed("node", "fp")
-    labels = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    labels = labels.join(labels.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(scratch.write(labels), "fp").select("doc_id", "fp", "component_id")
+    labels = scratch.write(classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = scratch.write(labels.groupBy("root").agg(F.min("least").alias("component_id")))
+    labels = scratch.write(labels.join(least, "root").select("fp", "component_id"))
+    return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
