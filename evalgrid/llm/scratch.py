@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes in an Arrow batch, so that long texts don't fill a worker's or an executor's buffers.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -44,6 +46,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.written = 0
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
         atexit.register(self._end)
 
     def write(self, df: DataFrame) -> DataFrame:

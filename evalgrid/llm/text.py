@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer single text makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -118,23 +117,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.ones(size, np.uint64)
-        done = 1
-        while done < size:  # doubling: p[done:2*done] = p[:done] * b**done
-            n = min(done, size - done)
-            p[done : done + n] = p[:n] * np.uint64(pow(b, done, 1 << 64))
-            done += n
-        out.append(p)
-    return out[0], out[1]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, of a rounded-up size so that few are made."""
-    return _powers(base, 1 << max(12, (size - 1).bit_length()))
+    """At least ``size`` powers of an odd base and of its inverse modulo 2**64; the longest made so far are kept."""
+    if base not in _POWERS or _POWERS[base][0].size < size:
+        room = 1 << max(12, (size - 1).bit_length())
+        _POWERS[base] = (_power_table(base, room), _power_table(pow(base, -1, 1 << 64), room))
+    return _POWERS[base]
+
+
+def _power_table(base: int, size: int) -> np.ndarray:
+    out = np.ones(size, np.uint64)
+    done = 1
+    while done < size:  # doubling: the next powers are the first ones times base**done
+        n = min(done, size - done)
+        np.multiply(out[:n], np.uint64(pow(base, done, 1 << 64)), out=out[done : done + n])
+        done += n
+    return out
 
 
 def prefix(values: np.ndarray, power: np.ndarray) -> np.ndarray:
