@@ -19,6 +19,8 @@ EXAMPLES, TERMS = 10_000, 384
 BEGINNINGS, LEVELS = (5, 6, 7, 8), (1, 2, 4)
 #: Least chi-square of a term against the label (one in 400,000 by chance), least examples with it.
 CHI_SQUARE, TERM_EXAMPLES = 22.0, 3
+#: Least share of the strongest term's chi-square: words that are common anywhere depend weakly on the label.
+CHI_SHARE = 0.02
 #: Neighbours that vote, the weight of the prior among them, and examples in one block.
 NEIGHBOURS, PRIOR, BLOCK = 15, 1.0, 64
 #: Hashes by which near copies among the examples are told.
@@ -308,6 +310,7 @@ def fit(spark: SparkSession, docs: DataFrame, examples: DataFrame, text: str = "
         chi = n * F.pow(a * (n0 - F.col("b")) - b * (n1 - F.col("a")), 2) / (n1 * n0 * (a + b) * F.greatest(n - a - b, F.lit(0.5)))
         strong = counts.where(F.col("a") + F.col("b") >= TERM_EXAMPLES).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE)
         strong = strong.orderBy(F.desc("chi"), "term", "level").limit(8 * TERMS).collect()
+        strong = [r for r in strong if r["chi"] >= CHI_SHARE * strong[0]["chi"]]
         known = np.unique(np.array([r["term"] for r in strong], np.int64).view(np.uint64))
         above: dict[int, list[int]] = {}
         for r in chosen.mapInArrow(_parents(known), "child long, parent long").distinct().collect():  # a few a term
