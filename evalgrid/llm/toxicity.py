@@ -1,4 +1,10 @@
-"""Toxicity: nearest labelled examples by TF-IDF cosine over a block-max inverted index."""
+"""Toxicity: nearest labelled examples by TF-IDF cosine over all their words, and over words that tell the label.
+
+Two votes make a score: of the nearest examples by exact cosine over the whole vocabulary of the
+examples with real term frequencies, and of the nearest by the words and word beginnings that
+depend on the label. Their weights are calibrated together where a text has such words; elsewhere
+the vote by all words decides alone.
+"""
 
 from __future__ import annotations
 
@@ -13,16 +19,16 @@ from pyspark.sql.types import StructType
 from .scratch import Scratch
 from .text import Windows, Words, byte_table, mix, signed, slices, starts
 
-#: About so many labelled texts of each class serve as examples, and so many terms as features.
-EXAMPLES, TERMS = 10_000, 384
+#: About so many labelled texts of each class serve as examples.
+EXAMPLES = 10_000
 #: Bytes of the word beginnings that are features beside whole words, and the counts that make a term of its own.
 BEGINNINGS, LEVELS = (5, 6, 7, 8), (1, 2, 4)
 #: Least chi-square of a term against the label (one in 400,000 by chance), least examples with it.
 CHI_SQUARE, TERM_EXAMPLES = 22.0, 3
-#: Least share of the strongest term's chi-square: words that are common anywhere depend weakly on the label.
-CHI_SHARE = 0.02
 #: Neighbours that vote, the weight of the prior among them, and examples in one block.
 NEIGHBOURS, PRIOR, BLOCK = 15, 1.0, 64
+#: Words in one of so many examples or more are columns of a dense table; queries in one product, and what rounding to single precision may change.
+DENSE, QUERIES, ROUNDING = 12, 128, 1e-4
 #: Hashes by which near copies among the examples are told.
 SKETCHES = 6
 SKETCH_COLUMNS = [f"s{i}" for i in range(SKETCHES)]
@@ -191,23 +197,103 @@ class BlockMaxIndex:
         return best, scores[best]
 
 
-class Model:
-    """Examples grouped by equal vectors, their index, and the calibration of the votes.
+def _word_counts(part: pa.RecordBatch, text: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place among ``known`` (sorted hashes) and number of times, in order, for the distinct known words of each text."""
+    words = Words(part.column(text), _ALNUM, lower=True)
+    if not known.size:
+        return (np.zeros(0, np.int64),) * 3
+    h, row = words.hashes(), np.repeat(np.arange(part.num_rows), words.counts)
+    place = np.searchsorted(known, h)
+    place[place == known.size] = 0
+    ok = known[place] == h
+    key, n = np.unique(row[ok] * known.size + place[ok], return_counts=True)
+    return key // known.size, key % known.size, n
 
-    ``factor``: labelled texts for each example of a class, negative and positive.
+
+class CosineIndex:
+    """Unit vectors of examples: those from ``first[i]`` to ``first[i + 1]`` of ``term`` and ``weight`` are of example i.
+
+    ``nearest`` is exact: cosines with all examples in single precision choose those that can be
+    among the k best whatever the rounding, and double precision decides.
     """
 
+    def __init__(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int):
+        self.first, self.term, self.weight, self.terms = first, term.astype(np.int32), weight, terms
+        self._made: tuple | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_made": None}
+
+    def _tables(self) -> tuple:
+        """Dense rows of the common terms and postings of the others; made where they are used."""
+        if self._made is None:
+            size = self.first.size - 1
+            row = np.repeat(np.arange(size, dtype=np.int32), np.diff(self.first))
+            common = np.flatnonzero(np.bincount(self.term, minlength=self.terms) * DENSE >= max(size, 1))
+            place = np.full(self.terms, -1, np.int32)
+            place[common] = np.arange(common.size)
+            at = place[self.term]
+            dense = np.zeros((common.size, size), np.float32)
+            dense[at[at >= 0], row[at >= 0]] = self.weight[at >= 0]
+            rest = np.flatnonzero(at < 0)
+            rest = rest[np.argsort(self.term[rest], kind="stable")]
+            begin = np.searchsorted(self.term[rest], np.arange(self.terms + 1))
+            self._made = place, dense, row[rest], self.weight[rest].astype(np.float32), begin, np.zeros(self.terms)
+        return self._made
+
+    def nearest(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the examples and cosines, best first: the k best at least, or all that share a term."""
+        place, dense, ids, weights, begin, room = self._tables()
+        size = self.first.size - 1
+        for low in range(0, first.size - 1, QUERIES):
+            cut = first[low : low + QUERIES + 1]
+            t, w = term[cut[0] : cut[-1]], weight[cut[0] : cut[-1]]
+            row, at = np.repeat(np.arange(cut.size - 1), np.diff(cut)), place[t]
+            query = np.zeros((cut.size - 1, dense.shape[0]), np.float32)
+            query[row[at >= 0], at[at >= 0]] = w[at >= 0]
+            sums = query @ dense
+            cut = cut - cut[0]
+            for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                rare = a + np.flatnonzero(at[a:b] < 0)
+                lo, hi = begin[t[rare]], begin[t[rare] + 1]
+                some = np.flatnonzero(hi > lo)
+                if some.size:
+                    rare, lo, hi = rare[some], lo[some], hi[some]
+                    spans = list(zip(lo.tolist(), hi.tolist(), strict=True))
+                    parts = np.concatenate([weights[x:y] for x, y in spans]) * np.repeat(w[rare].astype(np.float32), hi - lo)
+                    sums[i] += np.bincount(np.concatenate([ids[x:y] for x, y in spans]), weights=parts, minlength=size)
+                least = np.partition(sums[i], size - k)[size - k] - ROUNDING if size > k else 0.0
+                found = np.flatnonzero((sums[i] > 0) & (sums[i] >= least))
+                counts = self.first[found + 1] - self.first[found]
+                mine = np.repeat(self.first[found] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+                room[t[a:b]] = w[a:b]
+                cosine = np.bincount(np.repeat(np.arange(found.size), counts), weights=self.weight[mine] * room[self.term[mine]], minlength=found.size)
+                room[t[a:b]] = 0.0
+                best = np.lexsort((found, -cosine))
+                yield found[best], cosine[best]
+
+
+def _shares(found: np.ndarray, cosine: np.ndarray, pos: np.ndarray, neg: np.ndarray, factor: tuple[float, float], base: float) -> float:
+    """Votes of the first NEIGHBOURS labelled texts weighted by squared cosine, with the prior."""
+    n = pos + neg
+    left = np.clip(NEIGHBOURS - (np.cumsum(n) - n), 0, None)
+    share = np.minimum(n, left) / np.maximum(n, 1e-9) * cosine**2
+    yes, no = share @ pos * factor[1], share @ neg * factor[0]
+    prior = PRIOR * max(factor)
+    return float((yes + prior * base) / (yes + no + prior))
+
+
+class Cues:
+    """Examples grouped by equal vectors of the terms that depend on the label, and their index."""
+
     def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, examples: list[tuple[list[int], int, int]], factor: tuple[float, float]):
-        self.vocabulary, self.idf = vocabulary, idf
+        self.vocabulary, self.idf, self.factor = vocabulary, idf, factor
         self.vectors = [self.weigh(v) for v, _, _ in examples]
         self.pos, self.neg = np.array([p for _, p, _ in examples], float), np.array([n for _, _, n in examples], float)
-        self.factor = factor
         self.index = BlockMaxIndex(self.vectors, vocabulary.size)
         none = [i for i, v in enumerate(self.vectors) if not v]
         pos, neg = self.pos[none].sum() * factor[1], self.neg[none].sum() * factor[0]
         self.base = float((pos + 0.5) / (pos + neg + 1))
-        self.line = (0.0, 1.0)
-        self.line = self._calibrated()
 
     def weigh(self, terms: list[int]) -> list[tuple[int, float]]:
         """TF-IDF of unit length; the levels of a term stand for its frequency."""
@@ -215,60 +301,112 @@ class Model:
         norm = float(np.sqrt(w @ w))
         return list(zip(terms, (w / norm).tolist(), strict=True)) if norm > 0 else []
 
-    def vote(self, vector: list[tuple[int, float]], but: int = -1, positive: bool = False) -> tuple[float, list[int]]:
-        """Votes weighted by squared cosine, with the prior; ``but``: one example of that vector is left out."""
+    def vote(self, vector: list[tuple[int, float]], but: int = -1, positive: bool = False) -> float:
+        """``but``: one example of that vector is left out."""
         pos, neg = self.pos, self.neg
         if but >= 0:
             pos, neg = pos.copy(), neg.copy()
             (pos if positive else neg)[but] -= 1
         if not vector:
-            return self.base, []
-        n = pos + neg
-        found, cosine = self.index.nearest(vector, n, NEIGHBOURS)
-        n = n[found]
-        left = NEIGHBOURS - (np.cumsum(n) - n)
-        share = np.minimum(n, left) / np.maximum(n, 1e-9) * cosine**2
-        yes, no = share @ pos[found] * self.factor[1], share @ neg[found] * self.factor[0]
-        prior = PRIOR * max(self.factor)
-        return float((yes + prior * self.base) / (yes + no + prior)), found[:3].tolist()
-
-    def _calibrated(self) -> tuple[float, float]:
-        """Logistic line through the votes that each example gets from the others (a, b), classes weighted as they are."""
-        xs, ys, ws = [], [], []
-        for i, v in enumerate(self.vectors):
-            for positive, n in ((True, self.pos[i] * self.factor[1]), (False, self.neg[i] * self.factor[0])):
+            return self.base
+        found, cosine = self.index.nearest(vector, pos + neg, NEIGHBOURS)
+        return _shares(found, cosine, pos[found], neg[found], self.factor, self.base)
+
+
+class Model:
+    """Examples grouped by equal words, their index over all words, the cues, and the calibration of the two votes.
+
+    ``known``: sorted hashes of all words of the examples. ``factor``: labelled texts for each
+    example of a class, negative and positive. ``cue``: each group's place among those of ``cues``.
+    """
+
+    def __init__(self, known: np.ndarray, idf: np.ndarray, vectors: list[np.ndarray], pos: np.ndarray, neg: np.ndarray, factor: tuple[float, float], cues: Cues, cue: np.ndarray):
+        self.known, self.idf, self.pos, self.neg, self.factor, self.cues, self.cue = known, idf, pos, neg, factor, cues, cue
+        first = np.concatenate(([0], np.cumsum([len(v) for v in vectors], dtype=np.int64)))
+        flat = np.concatenate([*vectors, np.zeros((0, 2), np.int32)])
+        term, weight = flat[:, 0], self.weigh(first, flat[:, 0], flat[:, 1])
+        self.index = CosineIndex(first, term, weight, known.size)
+        yes, no = pos.sum() * factor[1], neg.sum() * factor[0]
+        self.base = float(yes / (yes + no)) if yes + no else 0.5
+        self.line = np.array([0.0, 0.5, 0.5, 0.0, 1.0])
+
+    def weigh(self, first: np.ndarray, term: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """TF-IDF of unit length: times a word occurs, by its inverse document frequency."""
+        w = n * self.idf[term]
+        row = np.repeat(np.arange(first.size - 1), np.diff(first))
+        return w / np.sqrt(np.bincount(row, weights=w * w, minlength=first.size - 1))[row]
+
+    def votes(self, part: pa.RecordBatch, text: int) -> Iterator[tuple[float, list[int]]]:
+        """For each text the vote by all words and the nearest groups."""
+        row, term, n = _word_counts(part, text, self.known)
+        first = np.searchsorted(row, np.arange(part.num_rows + 1))
+        for found, cosine in self.index.nearest(first, term, self.weigh(first, term, n), NEIGHBOURS):
+            yield _shares(found, cosine, self.pos[found], self.neg[found], self.factor, self.base), found[:3].tolist()
+
+    def others(self, groups: np.ndarray) -> Iterator[tuple[float, float, bool, bool, float]]:
+        """Both votes that an example of each of the groups gets from all others, whether it has cues, its label, and the labelled texts it stands for."""
+        cut = np.concatenate([np.arange(self.index.first[g], self.index.first[g + 1]) for g in groups])
+        first = np.concatenate(([0], np.cumsum(self.index.first[groups + 1] - self.index.first[groups])))
+        near = self.index.nearest(first, self.index.term[cut], self.index.weight[cut], NEIGHBOURS + 1)
+        for g, (found, cosine) in zip(groups.tolist(), near, strict=True):
+            for positive, n in ((True, self.pos[g] * self.factor[1]), (False, self.neg[g] * self.factor[0])):
                 if n > 0:
-                    p = min(max(self.vote(v, i, positive)[0], 1e-4), 1 - 1e-4)
-                    xs.append(np.log(p / (1 - p)))
-                    ys.append(float(positive))
-                    ws.append(n)
-        x, y, w = np.array(xs), np.array(ys), np.array(ws)
-        if not x.size or y.min() == y.max():
-            return 0.0, 1.0
-        w = w / w.sum() * x.size
-        a, b = 0.0, 1.0
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
-            g = np.array([(w * (y - p)).sum() - 0.01 * a, (w * (y - p) * x).sum() - 0.01 * (b - 1)])
-            d = w * p * (1 - p)
-            h = np.array([[d.sum() + 0.01, (d * x).sum()], [(d * x).sum(), (d * x * x).sum() + 0.01]])
-            step = np.linalg.solve(h, g)
-            a, b = a + step[0], max(b + step[1], 0.05)
-            if np.abs(step).max() < 1e-8:
+                    pos, neg = self.pos[found], self.neg[found]
+                    (pos if positive else neg)[found == g] -= 1
+                    cues = self.cues.vectors[self.cue[g]]
+                    yield _shares(found, cosine, pos, neg, self.factor, self.base), self.cues.vote(cues, int(self.cue[g]), positive), bool(cues), positive, n
+
+    @staticmethod
+    def _planes(words: np.ndarray, cues: np.ndarray, has: np.ndarray) -> np.ndarray:
+        """Columns of the calibration: constant and votes of texts with cues, then constant and vote of those without."""
+        c = has.astype(float)
+        return np.stack([c, c * _logit(words), c * _logit(cues), 1 - c, (1 - c) * _logit(words)], axis=1)
+
+    def calibrate(self, words: np.ndarray, cues: np.ndarray, has: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
+        """Logistic planes through the votes of ``others``, classes weighted as they are; every vote counts a little."""
+        if not y.size or y.min() == y.max():
+            return
+        x, w, vote = self._planes(words, cues, has), w / w.sum() * y.size, np.array([False, True, True, False, True])
+        line = self.line
+
+        def loss(b: np.ndarray) -> float:
+            z = x @ b
+            return float(w @ (np.logaddexp(0, z) - y * z) + 0.005 * ((b - self.line) ** 2).sum())
+
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(x @ line, -500, 500)))
+            g = x.T @ (w * (y - p)) - 0.01 * (line - self.line)
+            h = (x * (w * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(line.size)
+            free = ~vote | (line > 0.05) | (g > 0)
+            step = np.zeros(line.size)
+            step[free] = np.linalg.solve(h[np.ix_(free, free)], g[free])
+            for _ in range(40):  # a whole step can lead away
+                new = np.where(vote, np.maximum(line + step, 0.05), line + step)
+                if loss(new) <= loss(line):
+                    break
+                step /= 2
+            else:
+                break
+            done, line = np.abs(new - line).max() < 1e-8, new
+            if done:
                 break
-        return a, b
+        self.line = line
+
+    def probability(self, words: np.ndarray, cues: np.ndarray, has: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self._planes(words, cues, has) @ self.line, -30, 30)))
 
-    def score(self, terms: list[int]) -> tuple[float, list[int]]:
-        vote, found = self.vote(self.weigh(terms))
-        p = min(max(vote, 1e-4), 1 - 1e-4)
-        return float(1 / (1 + np.exp(-np.clip(self.line[0] + self.line[1] * np.log(p / (1 - p)), -30, 30)))), found
+
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
 
 
 def fit(spark: SparkSession, docs: DataFrame, examples: DataFrame, text: str = "text", label: str = "label", most: int = EXAMPLES, labelled: dict[int, int] | None = None) -> Model:
     """A model from ``examples`` (text, label 0/1) with corpus statistics of all ``docs``.
 
-    About ``most`` distinct texts of each class are examples, chosen by a hash of the text; the
-    features are the up to TERMS words that depend most on the label (chi-square) among them.
+    About ``most`` distinct texts of each class are examples, chosen by a hash of the text. All
+    their words are features of one vote, and all words and beginnings that depend on the label
+    (chi-square) of the other.
     Rows with a null label are left out. ``labelled``: rows of each class, if ``examples`` are a
     sample of them already. Document frequencies are counted over all of ``docs``.
     """
@@ -309,25 +447,34 @@ def fit(spark: SparkSession, docs: DataFrame, examples: DataFrame, text: str = "
         a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), n1 + n0
         chi = n * F.pow(a * (n0 - F.col("b")) - b * (n1 - F.col("a")), 2) / (n1 * n0 * (a + b) * F.greatest(n - a - b, F.lit(0.5)))
         strong = counts.where(F.col("a") + F.col("b") >= TERM_EXAMPLES).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE)
-        strong = strong.orderBy(F.desc("chi"), "term", "level").limit(8 * TERMS).collect()
-        strong = [r for r in strong if r["chi"] >= CHI_SHARE * strong[0]["chi"]]
+        strong = strong.orderBy(F.desc("chi"), "term", "level").collect()  # from the bounded examples
         known = np.unique(np.array([r["term"] for r in strong], np.int64).view(np.uint64))
         above: dict[int, list[int]] = {}
         for r in chosen.mapInArrow(_parents(known), "child long, parent long").distinct().collect():  # a few a term
             above.setdefault(r["child"], []).append(r["parent"])
         chi_of = {(r["term"], r["level"]): r["chi"] for r in strong}
         # A word whose beginning says as much says nothing more.
-        terms = [r for r in strong if all(chi_of.get((p, r["level"]), 0.0) < r["chi"] for p in above.get(r["term"], ()))][:TERMS]
+        terms = [r for r in strong if all(chi_of.get((p, r["level"]), 0.0) < r["chi"] for p in above.get(r["term"], ()))]
     hashes = np.array([r["term"] for r in terms], np.int64).view(np.uint64)
     vocabulary = spark.sparkContext.broadcast(Vocabulary(hashes, np.array([r["level"] for r in terms], np.int32)))
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.unique(Words(part.column(0), _ALNUM, lower=True).hashes())))], ["term"])
+
+    # All words of the bounded examples.
+    every = spark.sparkContext.broadcast(np.sort(chosen.mapInArrow(hashed, "term long").distinct().toArrow().column("term").to_numpy().view(np.uint64)))
+
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = vocabulary.value.size
-        found = np.zeros(total + 1, np.int64)
+        """Texts with each term, then all texts, then texts with each word."""
+        total, known = vocabulary.value.size, every.value
+        found = np.zeros(total + 1 + known.size, np.int64)
         for batch in batches:
             for part in slices(batch):
                 found[:total] += np.bincount(vocabulary.value.rows(part, 0)[1], minlength=total)[:total]
                 found[total] += part.num_rows
+                found[total + 1 :] += np.bincount(_word_counts(part, 0, known)[1], minlength=known.size)[: known.size]
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["place", "n"])
 
@@ -335,15 +482,41 @@ def fit(spark: SparkSession, docs: DataFrame, examples: DataFrame, text: str = "
         for batch in batches:
             for part in slices(batch):
                 keys = [",".join(map(str, v)) for v in vocabulary.value.lists(part, 0)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), part.column(1)], ["vector", "label"])
-
-    df = {r["place"]: r["n"] for r in docs.select(F.col(text).cast("string").alias("text")).mapInArrow(frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()}
-    size = df.pop(hashes.size, 0)
-    idf = np.log((1 + size) / (1 + np.array([df.get(i, 0) for i in range(hashes.size)], float))) + 1
-    grouped = chosen.mapInArrow(vectors, "vector string, label int").groupBy("vector").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).orderBy("vector").collect()
-    parsed = [([int(x) for x in r["vector"].split(",") if x], r["pos"], r["n"] - r["pos"]) for r in grouped]
+                row, place, n = _word_counts(part, 0, every.value)
+                cut = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
+                pairs = np.stack([place, n], axis=1).astype("<i4")
+                words = [pairs[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(keys, pa.string()), part.column(1)], ["words", "vector", "label"])
+
+    counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(hashes.size + 1 + every.value.size)
+    df[counted.column("place").to_numpy()] = counted.column("n").to_numpy()
+    idf = np.log((1 + df[hashes.size]) / (1 + df)) + 1
+    # Texts of equal words have equal cues.
+    grouped = chosen.mapInArrow(vectors, "words binary, vector string, label int").groupBy("words", "vector").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).toArrow()
+    grouped = grouped.sort_by([("words", "ascending")])
+    pos = grouped.column("pos").to_numpy().astype(float)
+    neg = grouped.column("n").to_numpy() - pos
+    names, cue = np.unique(np.array(grouped.column("vector").to_pylist(), object).astype(str), return_inverse=True) if grouped.num_rows else (np.zeros(0, str), np.zeros(0, np.int64))
+    by_cue = [np.bincount(cue, weights=x, minlength=names.size) for x in (pos, neg)]
+    parsed = [([int(x) for x in v.split(",") if x], p, n) for v, p, n in zip(names.tolist(), *by_cue, strict=True)]
     known = labelled or sizes
-    model = Model(vocabulary.value, idf, parsed, tuple(known.get(y, 0) / max(totals.get(y, 0), 1) for y in (0, 1)))
+    factor = tuple(known.get(y, 0) / max(totals.get(y, 0), 1) for y in (0, 1))
+    words = [np.frombuffer(x, "<i4").reshape(-1, 2) for x in grouped.column("words").to_pylist()]
+    model = Model(every.value, idf[hashes.size + 1 :], words, pos, neg, factor, Cues(vocabulary.value, idf[: hashes.size], parsed, factor), cue)
+    shared = spark.sparkContext.broadcast(model)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = list(shared.value.others(batch.column(0).to_numpy()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.float64()) for x in zip(*found, strict=True)], ["words", "cues", "has", "y", "w"])
+
+    if grouped.num_rows:
+        votes = spark.range(0, grouped.num_rows, 1, -(-grouped.num_rows // (4 * QUERIES))).mapInArrow(others, "words double, cues double, has double, y double, w double").toArrow()
+        model.calibrate(*[votes.column(c).to_numpy() for c in ("words", "cues", "has", "y", "w")])
+    shared.unpersist()
+    every.unpersist()
     vocabulary.unpersist()
     scratch.drop(chosen)
     return model
@@ -353,27 +526,27 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text"
     """(doc_id, score, neighbours) for every row, and the columns ``carry``: the calibrated vote of the nearest examples.
 
     ``neighbours`` counts (positive, negative, in the three nearest groups) as evidence. Texts that
-    share no term with the examples, empty and null ones among them, get the share of positive
-    examples without terms. Repeated rows stay; an empty table gives no rows; other columns are
+    share no word with the examples, empty and null ones among them, get the share of positive
+    examples as that vote. Repeated rows stay; an empty table gives no rows; other columns are
     not read.
     """
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple[float, list]] = {}
+        known: dict[tuple, float] = {}
         m = shared.value
         for batch in batches:
             for part in slices(batch, "_text"):
-                out, evidence = [], []
-                for terms in m.vocabulary.lists(part, 1):
+                votes, evidence = [], []
+                for terms, (vote, near) in zip(m.cues.vocabulary.lists(part, 1), m.votes(part, 1), strict=True):
                     key = tuple(terms)
                     if key not in known:
                         if len(known) > 100_000:
                             known.clear()
-                        s, near = m.score(terms)
-                        known[key] = s, [{"positive": float(m.pos[x]), "negative": float(m.neg[x])} for x in near]
-                    out.append(known[key][0])
-                    evidence.append(known[key][1])
+                        known[key] = m.cues.vote(m.cues.weigh(terms))
+                    votes.append((vote, known[key], float(bool(key))))
+                    evidence.append([{"positive": float(m.pos[x]), "negative": float(m.neg[x])} for x in near])
+                out = m.probability(*np.array(votes).T)
                 kind = pa.list_(pa.struct([("positive", pa.float64()), ("negative", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64()), pa.array(evidence, kind), *part.columns[2:]], ["doc_id", "score", "neighbours", *carry])
 
