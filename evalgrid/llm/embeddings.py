@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .scratch import Scratch
 
-#: Codes, filters of each that a vector passes on average, vectors of one label that a filter should hold, and rows in a block.
+#: Codes at least, filters of each that a vector passes on average, vectors of one label that a filter should hold, and rows in a block.
 CODES, LIST, BUCKET, BLOCK = 3, 7, 32, 1024
 SEED = 20_240_601
+#: Share of pairs at the threshold itself that have to share a filter, pairs that measure it, and codes beyond which none is tried.
+RECALL, PAIRS, MOST_CODES = 0.97, 2048, 64
 
 
 class ProductCode:
@@ -27,7 +30,7 @@ class ProductCode:
 
     def __init__(self, dim: int, vectors: int, number: int = 0):
         want = max(512.0, vectors * LIST / BUCKET)
-        self.parts = min(2 if want <= 1 << 20 else 3, dim)
+        self.parts = min(2, dim)  # three would be smaller tables, but find far fewer pairs
         self.words = max(4, int(np.ceil(want ** (1 / self.parts))))
         self.size = self.words**self.parts
         rng = np.random.default_rng([SEED, dim, self.parts, self.words, number])
@@ -73,10 +76,33 @@ class ProductCode:
 
 
 class Codes:
-    """Several product codes; their filters are numbered one code after the other."""
+    """Several product codes; their filters are numbered one code after the other.
 
-    def __init__(self, dim: int, vectors: int):
-        self.all = [ProductCode(dim, vectors, i) for i in range(CODES)]
+    ``number``: how many; else as many as pairs of cosine ``threshold`` need for RECALL.
+    """
+
+    def __init__(self, dim: int, vectors: int, number: int | None = None, threshold: float = 0.93):
+        self.all = [ProductCode(dim, vectors, i) for i in range(number or CODES)]
+        if number is None and dim > 1 and -1 < threshold < 1:
+            self._extend(dim, vectors, threshold)
+
+    def _extend(self, dim: int, vectors: int, threshold: float) -> None:
+        rng = np.random.default_rng([SEED, dim])
+        x, z = rng.standard_normal((2, PAIRS, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        y = threshold * x + np.sqrt(1 - threshold**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        found, done = np.zeros(PAIRS, bool), 0
+        while True:
+            for code in self.all[done:]:
+                (r, f), (s, g) = code.decode(x), code.decode(y)
+                found[np.intersect1d(r * code.size + f, s * code.size + g) // code.size] = True
+            done = len(self.all)
+            if found.mean() >= RECALL:
+                return
+            if done == MOST_CODES:
+                raise ValueError(f"{done} codes find {found.mean():.2f} of the pairs at cosine {threshold} in {dim} dimensions")
+            self.all.append(ProductCode(dim, vectors, done))
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row and filter, ascending."""
@@ -111,20 +137,29 @@ def _units(vectors: list[bytes], dims: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filters(sizes: dict[int, int]):
-    """A row for each vector and filter it passes, with all its filters."""
+@lru_cache(maxsize=32)
+def _codes(dim: int, vectors: int, number: int) -> Codes:
+    return Codes(dim, vectors, number)
+
+
+def label_sizes(nodes: DataFrame) -> DataFrame:
+    """(label, size, most) of each label and vector length: its number of vectors, up to the next power of two."""
+    counts = nodes.groupBy("label", F.abs("dim").alias("size")).count()
+    return counts.select("label", "size", F.pow(F.lit(2.0), F.ceil(F.log2("count"))).cast("long").alias("most"))
+
+
+def _filters(numbers: dict[tuple[int, int], int]):
+    """A row for each vector and filter it passes, with all its filters. ``numbers``: codes by length and size of the label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, Codes] = {}
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
-                vectors, dims = part.column(3).to_pylist(), part.column(4).to_numpy()
-                for size in np.unique(np.abs(dims)).tolist():
-                    mine = np.flatnonzero(np.abs(dims) == size)
-                    if size not in codes:
-                        codes[size] = Codes(size, sizes[size])
-                    row, found = codes[size].decode(_units([vectors[i] for i in mine], dims[mine]))
+                vectors, dims, most = part.column(3).to_pylist(), part.column(4).to_numpy(), part.column(5).to_numpy()
+                part = part.select(["node", "n", "label", "vector", "dim"])
+                for size, vectors_of in np.unique(np.stack([np.abs(dims), most]), axis=1).T.tolist():
+                    mine = np.flatnonzero((np.abs(dims) == size) & (most == vectors_of))
+                    row, found = _codes(size, vectors_of, numbers[size, vectors_of]).decode(_units([vectors[i] for i in mine], dims[mine]))
                     cut = np.searchsorted(row, np.arange(mine.size + 1))
                     every = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(found))
                     rows = part.take(pa.array(mine[row]))
@@ -210,8 +245,9 @@ def near_duplicate_vectors(spark: SparkSession, vectors: DataFrame, threshold: f
     table gives no rows; other columns are not read.
 
     Equal directions are one node. A pair is found if both vectors pass one filter, which misses
-    few pairs at the threshold and hardly any above it; recall is measured in the tests. Filters
-    grow in number with the largest label, so that each holds about BUCKET vectors; larger ones,
+    few pairs at the threshold and hardly any above it: codes are added until RECALL of made pairs
+    at the threshold share a filter. Filters grow in number with the vectors of their own label, so
+    that each holds BUCKET vectors at most on average; larger ones,
     such as those of one very common vector, are split into pairs of blocks.
     """
     scratch = Scratch(spark, "embeddings")
@@ -220,10 +256,12 @@ def near_duplicate_vectors(spark: SparkSession, vectors: DataFrame, threshold: f
     usable = F.col("label").isNotNull() & F.col("vector").isNotNull()
     nodes = rows.where(usable).groupBy("label", "vector", "dim").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     nodes = scratch.write(nodes.withColumn("node", F.monotonically_increasing_id()))
-    largest = nodes.groupBy("label", F.abs("dim").alias("size")).count().groupBy("size").agg(F.max("count").alias("most"))
-    sizes = {r["size"]: r["most"] for r in largest.collect()}  # a row for each vector length
+    sizes = scratch.write(label_sizes(nodes))
+    classes = [(r["size"], r["most"]) for r in sizes.select("size", "most").distinct().collect()]  # some powers of two a length
+    numbers = {c: len(Codes(*c, threshold=threshold).all) for c in classes}
+    nodes_of = nodes.withColumn("size", F.abs("dim")).join(sizes, ["label", "size"]).select("node", "n", "label", "vector", "dim", "most")
     schema = "node long, n long, label string, vector binary, dim long, size long, filter long, filters array<long>"
-    passed = scratch.write(nodes.select("node", "n", "label", "vector", "dim").mapInArrow(_filters(sizes), schema))
+    passed = scratch.write(nodes_of.mapInArrow(_filters(numbers), schema))
     held = passed.groupBy("label", "size", "filter").agg(F.count("*").alias("held")).where("held > 1")
     held = scratch.write(held.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")))
     found = passed.join(held, ["label", "size", "filter"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
