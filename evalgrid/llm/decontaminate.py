@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .rows import text_key
 from .scratch import Scratch
 from .text import Windows, Words, byte_table, signed, slices, starts
 
@@ -16,6 +17,8 @@ from .text import Windows, Words, byte_table, signed, slices, starts
 SHINGLE = 3
 #: Bits of a token filter: 16 a token, between these powers of two. The largest is 16 MB.
 FILTER_BITS = (16, 27)
+#: Prefix tokens in one Arrow batch.
+HITS = 4096
 _ALNUM = byte_table("alnum")
 
 
@@ -59,7 +62,7 @@ def token_filter(tokens: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def passes_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = hashes & np.uint64(bits.size * 8 - 1)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
@@ -74,45 +77,52 @@ def _count_tokens(shared, shingles: list[int]):
                 hashes = Windows(words.hashes())
                 for k in shingles:
                     found = hashes.at(starts(words.first, k)[0], k)
-                    token, n = np.unique(found[_passes(shared.value, found)], return_counts=True)
+                    token, n = np.unique(found[passes_filter(shared.value, found)], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(n.astype(np.int64))], ["token", "n"])
 
     return run
 
 
-_PLACES = pa.list_(pa.struct([("token", pa.int64()), ("lead", pa.int32()), ("place", pa.int32()), ("around", pa.string())]))
-
-
 def _find_tokens(shared, shingles: list[int], size: int):
-    """Each row with its word count and, for each prefix token, the words around it."""
+    """Each row's key and word count (no token), and a row for each prefix token with the words around it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column(1), _ALNUM, lower=True)
-                hashes, found = Windows(words.hashes()), {}
+                hashes = Windows(words.hashes())
+                at, token, text = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for k in shingles:
-                    at, text = starts(words.first, k)
-                    token = hashes.at(at, k)
-                    hit = _passes(shared.value, token)
-                    for a, d, t in zip(at[hit].tolist(), text[hit].tolist(), signed(token[hit]).tolist(), strict=True):
-                        found.setdefault(d, []).append((a, t))
-                if found:
-                    joined, start, end = words.joined()
-                places: list[list | None] = [None] * part.num_rows
-                for d, hits in found.items():
-                    low, high = int(words.first[d]), int(words.first[d + 1])
-                    places[d] = [
-                        {"token": t, "lead": a - max(low, a - size + 1), "place": a - low, "around": joined[start[max(low, a - size + 1)] : end[min(high, a + size) - 1]].decode()}
-                        for a, t in hits
-                    ]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words.counts.astype(np.int64)), pa.array(places, _PLACES)], ["doc_id", "n_words", "places"])
+                    begin, row = starts(words.first, k)
+                    found = hashes.at(begin, k)
+                    hit = np.flatnonzero(passes_filter(shared.value, found))
+                    at.append(begin[hit])
+                    token.append(found[hit])
+                    text.append(row[hit])
+                at, token, text = np.concatenate(at), np.concatenate(token), np.concatenate(text)
+                keys, n = part.column(0).to_numpy(), part.num_rows
+                none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *part.columns[2:], pa.array(words.counts.astype(np.int64)), *none], _FOUND)
+                if not at.size:
+                    continue
+                joined, start, end = words.joined()
+                low = np.maximum(words.first[text], at - size + 1)
+                high = np.minimum(words.first[text + 1], at + size)
+                for i in range(0, at.size, HITS):
+                    now = slice(i, i + HITS)
+                    around = [joined[a:b].decode() for a, b in zip(start[low[now]].tolist(), end[high[now] - 1].tolist(), strict=True)]
+                    place, lead = (at - words.first[text])[now], (at - low)[now]
+                    none = [pa.nulls(len(around), pa.int64())] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[text[now]]), *none, pa.array(signed(token[now])), pa.array(lead.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(around, pa.string())], _FOUND)
 
     return run
 
 
+_FOUND = ["row_key", "doc_id", "text_key", "n_words", "token", "lead", "place", "around"]
+
+
 def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_words, hit, item_ids) for every row of ``docs``.
+    """(doc_id, text_key, n_words, hit, item_ids) for every row of ``docs``; ``text_key`` is that of rows.py.
 
     ``hit``: [begin, end) runs of words inside occurrences of any item window, ascending and
     disjoint; ``item_ids``: the distinct items with a window there, as strings in order. Words are
@@ -141,30 +151,24 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, window
     rarest = placed.join(counts, "token", "left").groupBy("window", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("r"))
     prefix = scratch.write(rarest.where("r.n > 0").select("window", "size", "r.token", "r.offset"))
     shared = spark.sparkContext.broadcast(token_filter(prefix.select("token").distinct(), "token"))
-    schema = "doc_id long, n_words long, places array<struct<token: long, lead: int, place: int, around: string>>"
-    found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), texts).mapInArrow(_find_tokens(shared, shingles, window), schema)
-    found = scratch.write(found.withColumn("row_key", F.monotonically_increasing_id()))
+    schema = "row_key long, doc_id long, text_key long, n_words long, token long, lead int, place int, around string"
+    source = docs.select(F.monotonically_increasing_id().alias("row_key"), texts, F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("text_key"))
+    found = scratch.write(source.mapInArrow(_find_tokens(shared, shingles, window), schema))
     shared.unpersist()
-    spots = found.where("places is not null").select("row_key", F.explode("places").alias("p")).select("row_key", "p.*")
+    spots = found.where("token is not null").select("row_key", "token", "lead", "place", "around")
     bounds = (F.col("lead") >= F.col("offset")) & (F.col("place") >= F.col("offset"))
     words = F.slice(F.split("around", " "), F.greatest(F.col("lead") - F.col("offset"), F.lit(0)) + 1, F.col("size"))
     same = F.array_join(words, " ") == F.col("window")
     begin = F.col("place") - F.col("offset")
     hits = scratch.write(spots.join(prefix, "token").where(bounds & same).select("row_key", "window", begin.alias("begin"), (begin + F.col("size")).alias("end")))
-    runs = hits.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("all"))
-    merged = F.aggregate(
-        "all",
-        F.array().cast("array<struct<begin: int, end: int>>"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(-1)) >= x["begin"]),
-            F.concat(
-                F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(F.struct(F.try_element_at(done, F.lit(-1))["begin"].alias("begin"), F.greatest(F.try_element_at(done, F.lit(-1))["end"], x["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(done, F.array(x))),
-    )
-    runs = runs.select("row_key", merged.alias("hit"))
+    # Runs that touch are one: each row's hits in order, a new run where one begins after all before it end.
+    before = Window.partitionBy("row_key").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
+    runs = hits.select("row_key", "begin", "end").distinct().withColumn("reach", F.max("end").over(before))
+    runs = runs.withColumn("run", F.count_if(F.col("reach").isNull() | (F.col("begin") > F.col("reach"))).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("row_key", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    runs = runs.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("hit"))
     owners = windows.select("window", "item_id").where("item_id is not null").distinct()
     listed = hits.select("row_key", "window").distinct().join(owners, "window").groupBy("row_key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    out = found.select("row_key", "doc_id", "n_words").join(runs, "row_key", "left").join(listed, "row_key", "left")
-    return out.select("doc_id", "n_words", F.coalesce("hit", F.array().cast("array<struct<begin: int, end: int>>")).alias("hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    out = found.where("token is null").select("row_key", "doc_id", "text_key", "n_words").join(runs, "row_key", "left").join(listed, "row_key", "left")
+    empty_hit, empty_items = F.array().cast("array<struct<begin: int, end: int>>"), F.array().cast("array<string>")
+    return out.select("doc_id", "text_key", "n_words", F.coalesce("hit", empty_hit).alias("hit"), F.coalesce("item_ids", empty_items).alias("item_ids"))

@@ -104,7 +104,7 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame):
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     few = F.lit(False)
     for label, n in sizes.items():  # about EXAMPLES rows of each class, by a hash of the doc_id
-        few = few | ((F.col("label") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < max(1, int(1_000_003 * min(1.0, EXAMPLES / n)))))
+        few = few | ((F.col("label") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, EXAMPLES / n)) + 1))
     # At most some 2 * EXAMPLES rows of two numbers.
     return fit(spark, docs, docs.select("doc_id", "text").join(F.broadcast(known.where(few)), "doc_id"), labelled=sizes)
 
@@ -114,7 +114,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     found = score(spark, docs, toxicity_model(spark, docs, _table(spark, sf_dir, "labels")))
-    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    evidence = F.array_join(F.transform("neighbours", lambda x: x["doc_id"].cast("string")), ",").alias("evidence")
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), evidence)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Toxicity: nearest labelled examples by TF-IDF cosine over all their words, and over words that tell the label.
 
-Two votes make a score: of the nearest examples by exact cosine over the whole vocabulary of the
-examples with real term frequencies, and of the nearest by the words and word beginnings that
-depend on the label. Their weights are calibrated together where a text has such words; elsewhere
-the vote by all words decides alone.
+Two votes make a score, both of the nearest examples by exact TF-IDF cosine in a block-max index:
+over the whole vocabulary of the examples with real term frequencies, and over the words and word
+beginnings that depend on the label. A few offensive words hardly turn the cosine of a long text,
+so the second vote is needed to find them; the calibration weighs both where a text has such
+words, and elsewhere the vote by all words decides alone.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .scratch import Scratch
-from .text import Windows, Words, byte_table, mix, signed, slices, starts
+from .text import Windows, Words, byte_table, mix, signed, slices
 
 #: About so many labelled texts of each class serve as examples.
 EXAMPLES = 10_000
@@ -26,22 +27,26 @@ BEGINNINGS, LEVELS = (5, 6, 7, 8), (1, 2, 4)
 #: Least chi-square of a term against the label (one in 400,000 by chance), least examples with it.
 CHI_SQUARE, TERM_EXAMPLES = 22.0, 3
 #: Neighbours that vote, the weight of the prior among them, and examples in one block.
-NEIGHBOURS, PRIOR, BLOCK = 15, 1.0, 64
-#: Words in one of so many examples or more are columns of a dense table; queries in one product, and what rounding to single precision may change.
-DENSE, QUERIES, ROUNDING = 12, 128, 1e-4
-#: Hashes by which near copies among the examples are told.
-SKETCHES = 6
-SKETCH_COLUMNS = [f"s{i}" for i in range(SKETCHES)]
+NEIGHBOURS, PRIOR, BLOCK = 15, 1.0, 16
+#: Terms in one of so many examples or more are common; examples by which the others are ordered, and blocks read first.
+DENSE, LEADERS, FIRST = 14, 48, 16
+#: Queries at once, and what rounding to single precision may change.
+QUERIES, ROUNDING = 128, 1e-4
+#: Keys by which near copies among the examples meet.
+SKETCHES = 9
 _ALNUM = byte_table("alnum")
 
 
-def _counts(part: pa.RecordBatch, text: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _split(part: pa.RecordBatch, text: int) -> Words:
+    return Words(part.column(text), _ALNUM, lower=True)
+
+
+def _counts(words: Words, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, hash and number of times, for the distinct words and word beginnings of each text.
 
     ``known``: sorted hashes; others are left out, by a small table first.
     """
-    words = Words(part.column(text), _ALNUM, lower=True)
-    row = np.repeat(np.arange(part.num_rows), words.counts)
+    row = np.repeat(np.arange(words.counts.size), words.counts)
     rows, hashes = [], []
     for size in (0, *BEGINNINGS):
         long = np.flatnonzero(words.end - words.start > size) if size else slice(None)
@@ -82,7 +87,7 @@ def _parents(known: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                words = Words(part.column(0), _ALNUM, lower=True)
+                words = _split(part, 0)
                 size = words.end - words.start
                 shorter: list[tuple[np.ndarray, np.ndarray]] = []
                 for length in (*BEGINNINGS, 0):
@@ -96,29 +101,53 @@ def _parents(known: np.ndarray):
     return run
 
 
+def _runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text of all runs of five words (a text of fewer: its words as one run)."""
+    words = Words(column, _ALNUM, lower=True)
+    counts = words.counts
+    n = np.where(counts > 0, np.maximum(counts - 4, 1), 0)
+    row = np.repeat(np.arange(counts.size), n)
+    at = np.arange(row.size) - (np.cumsum(n) - n)[row] + words.first[:-1][row]
+    return Windows(words.hashes()).at(at, np.minimum(5, counts[row])), row
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the least of several hashes over their runs of five words; near copies share some."""
+    """Rows with keys of three least hashes each over their runs; texts alike at 0.8 share one but once in 600."""
     for batch in batches:
         for part in slices(batch):
-            words = Words(part.column(0), _ALNUM, lower=True)
-            at, row = starts(words.first, 5)
-            runs = Windows(words.hashes()).at(at, 5)
-            least = []
-            for salt in range(1, SKETCHES + 1):
-                out = np.zeros(part.num_rows, np.uint64)
-                some = np.flatnonzero(np.bincount(row, minlength=part.num_rows))
-                if some.size:
-                    out[some] = np.minimum.reduceat(mix(runs ^ np.uint64(salt * 0x1F83D9ABFB41BD6B & (1 << 64) - 1)), np.searchsorted(row, some))
-                short = np.setdiff1d(np.arange(part.num_rows), some)
-                out[short] = [hash_text(t) for t in part.column(0).take(pa.array(short)).to_pylist()]
-                least.append(pa.array(signed(out)))
-            yield pa.RecordBatch.from_arrays([*part.columns, *least], ["text", "label", "h", *SKETCH_COLUMNS])
-
+            runs, row = _runs(part.column(0))
+            some = np.unique(row)
+            keys = np.zeros((part.num_rows, SKETCHES), np.uint64)
+            if some.size:
+                cut = np.searchsorted(row, some)
+                for s in range(SKETCHES):
+                    least = [np.minimum.reduceat(mix(runs ^ np.uint64((3 * s + i + 1) * 0x1F83D9ABFB41BD6B & (1 << 64) - 1)), cut) for i in range(3)]
+                    keys[some, s] = mix(least[0] ^ mix(least[1] ^ mix(least[2] ^ np.uint64(s))))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * SKETCHES), pa.array(signed(keys.ravel())))
+            yield pa.RecordBatch.from_arrays([*part.columns, lists], ["text", "label", "h", "doc_id", "keys"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, label) of the rows whose text is a near copy of the other text, by their sets of runs."""
+    for batch in batches:
+        for part in slices(batch):
+            (mine, row), (others, of) = _runs(part.column(2)), _runs(part.column(3))
+            mine_cut, others_cut = (np.searchsorted(r, np.arange(part.num_rows + 1)) for r in (row, of))
+            keep = np.zeros(part.num_rows, bool)
+            for i in range(part.num_rows):
+                x, y = np.unique(mine[mine_cut[i] : mine_cut[i + 1]]), np.unique(others[others_cut[i] : others_cut[i + 1]])
+                shared = np.intersect1d(x, y, assume_unique=True).size
+                keep[i] = shared >= 0.8 * (x.size + y.size - shared) - 1e-9
+            yield part.select([0, 1]).filter(pa.array(keep))
 
-def hash_text(text: str) -> int:
-    import xxhash
 
-    return xxhash.xxh64_intdigest(text.encode())
+def _near_copies_of_lesser(drawn: DataFrame) -> DataFrame:
+    """(h, label) of the examples that are near copies of the one of least hash with one of their keys."""
+    keys = drawn.select("h", "label", F.explode("keys").alias("key")).where("key != 0")
+    hubs = keys.groupBy("key", "label").agg(F.min("h").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    pairs = keys.join(hubs, ["key", "label"]).where("h != hub").select("h", "label", "hub").distinct()
+    other = drawn.select(F.col("h").alias("hub"), "label", F.col("text").alias("other"))
+    return pairs.join(drawn.select("h", "label", "text"), ["h", "label"]).join(other, ["hub", "label"]).select("h", "label", "text", "other").mapInArrow(_alike, "h long, label int").distinct()
 
 
 class Vocabulary:
@@ -132,145 +161,145 @@ class Vocabulary:
             mine = levels == level
             self.term[level][base[mine]] = np.flatnonzero(mine)
 
-    def rows(self, part: pa.RecordBatch, text: int) -> tuple[np.ndarray, np.ndarray]:
+    def rows(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Row and term, in order, for the terms of each text."""
-        row, h, n = _counts(part, text, self.known)
+        row, h, n = _counts(words, self.known)
         base = np.searchsorted(self.known, h)
         found = [(row[ok], term[base[ok]]) for level, term in self.term.items() for ok in [np.flatnonzero((n >= level) & (term[base] >= 0))]]
         row, term = np.concatenate([r for r, _ in found]), np.concatenate([t for _, t in found])
         order = np.lexsort((term, row))
         return row[order], term[order]
 
-    def lists(self, part: pa.RecordBatch, text: int) -> list[list[int]]:
-        row, term = self.rows(part, text)
-        cut = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
+    def lists(self, words: Words) -> list[list[int]]:
+        row, term = self.rows(words)
+        cut = np.searchsorted(row, np.arange(words.counts.size + 1)).tolist()
         term = term.tolist()
         return [term[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
 
-class BlockMaxIndex:
-    """Example vectors as postings by term, with the largest weight of a term in each block.
-
-    ``nearest`` is exact: the blocks of the highest bounds (query weight times largest weight,
-    summed over terms) give the k-th best cosine so far, and every block whose bound reaches it is
-    read; no other block can hold a better example.
-    """
-
-    def __init__(self, vectors: list[list[tuple[int, float]]], terms: int):
-        self.size = len(vectors)
-        self.blocks = max(1, -(-self.size // BLOCK))
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for i, vector in enumerate(vectors):
-            for t, w in vector:
-                postings[t].append((i, w))
-        self.ids = [np.array([i for i, _ in p], np.int64) for p in postings]
-        self.weights = [np.array([w for _, w in p]) for p in postings]
-        self.bounds = np.zeros((terms, self.blocks))
-        for t, (ids, weights) in enumerate(zip(self.ids, self.weights, strict=True)):
-            np.maximum.at(self.bounds[t], ids // BLOCK, weights)
-
-    def nearest(self, query: list[tuple[int, float]], mass: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines, best first, that hold the first k examples (``mass``: examples in each vector)."""
-        terms, q = [t for t, _ in query], np.array([w for _, w in query])
-        bound = q @ self.bounds[terms] * (1 + 1e-12)
-        ids = np.concatenate([self.ids[t] for t in terms])
-        parts = np.concatenate([w * self.weights[t] for t, w in query])
-        least, first = 0.0, 8
-        if self.blocks > first:
-            top = np.argpartition(-bound, first - 1)[:first]
-            chosen = np.zeros(self.blocks, bool)
-            chosen[top] = True
-            found, scores = self._read(ids, parts, chosen, mass, k)
-            if mass[found].sum() >= k:
-                least = scores[-1]
-        return self._read(ids, parts, (bound >= least) & (bound > 0), mass, k)
-
-    def _read(self, ids: np.ndarray, parts: np.ndarray, chosen: np.ndarray, mass: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        mine = chosen[ids // BLOCK]
-        scores = np.bincount(ids[mine], weights=parts[mine], minlength=self.size)
-        best = np.flatnonzero(scores)
-        if best.size > 4 * k:  # vectors hold an example at least, so k of them do
-            cut = np.partition(scores[best], best.size - k)[best.size - k]
-            best = best[scores[best] >= cut]
-        best = best[np.lexsort((best, -scores[best]))]
-        best = best[: int(np.searchsorted(np.cumsum(mass[best]), k)) + 1]
-        return best, scores[best]
-
-
-def _word_counts(part: pa.RecordBatch, text: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _word_counts(words: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, place among ``known`` (sorted hashes) and number of times, in order, for the distinct known words of each text."""
-    words = Words(part.column(text), _ALNUM, lower=True)
     if not known.size:
         return (np.zeros(0, np.int64),) * 3
-    h, row = words.hashes(), np.repeat(np.arange(part.num_rows), words.counts)
-    place = np.searchsorted(known, h)
+    row = np.repeat(np.arange(words.counts.size), words.counts)
+    distinct, which = np.unique(words.hashes(), return_inverse=True)
+    place = np.searchsorted(known, distinct)
     place[place == known.size] = 0
-    ok = known[place] == h
+    place = np.where(known[place] == distinct, place, -1)[which]
+    ok = place >= 0
     key, n = np.unique(row[ok] * known.size + place[ok], return_counts=True)
     return key // known.size, key % known.size, n
 
 
-class CosineIndex:
+class BlockMaxIndex:
     """Unit vectors of examples: those from ``first[i]`` to ``first[i + 1]`` of ``term`` and ``weight`` are of example i.
 
-    ``nearest`` is exact: cosines with all examples in single precision choose those that can be
-    among the k best whatever the rounding, and double precision decides.
+    Examples alike in the common terms are put next to each other in blocks. Rare terms have
+    postings; common ones have the largest weight in each block, and the block's own weights.
+    ``nearest`` is exact: a query's rare postings and its block maxima bound the cosines in each
+    block, the blocks of the highest bounds give the k-th best cosine so far, and only blocks whose
+    bound reaches that are read. Single precision chooses blocks and candidates, with room for its
+    rounding; double precision decides.
     """
 
     def __init__(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int):
         self.first, self.term, self.weight, self.terms = first, term.astype(np.int32), weight, terms
+        self.read = [0, 0]  # blocks read, and all blocks, over the queries so far
         self._made: tuple | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_made": None}
 
     def _tables(self) -> tuple:
-        """Dense rows of the common terms and postings of the others; made where they are used."""
+        """Made where they are used, from the vectors alone."""
         if self._made is None:
             size = self.first.size - 1
-            row = np.repeat(np.arange(size, dtype=np.int32), np.diff(self.first))
+            row = np.repeat(np.arange(size), np.diff(self.first))
             common = np.flatnonzero(np.bincount(self.term, minlength=self.terms) * DENSE >= max(size, 1))
             place = np.full(self.terms, -1, np.int32)
             place[common] = np.arange(common.size)
             at = place[self.term]
-            dense = np.zeros((common.size, size), np.float32)
-            dense[at[at >= 0], row[at >= 0]] = self.weight[at >= 0]
-            rest = np.flatnonzero(at < 0)
-            rest = rest[np.argsort(self.term[rest], kind="stable")]
-            begin = np.searchsorted(self.term[rest], np.arange(self.terms + 1))
-            self._made = place, dense, row[rest], self.weight[rest].astype(np.float32), begin, np.zeros(self.terms)
+            blocks = max(1, -(-size // BLOCK))
+            dense = np.zeros((blocks * BLOCK, common.size), np.float32)
+            often = np.flatnonzero(at >= 0)
+            dense[row[often], at[often]] = self.weight[often]
+            order = np.arange(size)
+            if size > BLOCK:
+                leaders = dense[np.linspace(0, size - 1, min(LEADERS, size)).astype(int)]
+                alike = dense[:size] @ leaders.T
+                order = np.lexsort((-alike.max(axis=1), alike.argmax(axis=1)))
+            spot = np.empty(size, np.int64)
+            spot[order] = np.arange(size)
+            dense[:size] = dense[order]
+            dense = np.ascontiguousarray(dense.reshape(blocks, BLOCK, common.size).transpose(0, 2, 1))  # a line of memory for each block and term
+            rare = np.flatnonzero(at < 0)
+            rare = rare[np.argsort(self.term[rare], kind="stable")]
+            begin = np.searchsorted(self.term[rare], np.arange(self.terms + 1))
+            often = often[np.argsort(spot[row[often]], kind="stable")]
+            own = np.searchsorted(spot[row[often]], np.arange(blocks * BLOCK + 1))
+            self._made = place, order, dense, dense.max(axis=2).T.copy(), spot[row[rare]].astype(np.int32), self.weight[rare], begin, own, at[often], self.weight[often]
         return self._made
 
     def nearest(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query the examples and cosines, best first: the k best at least, or all that share a term."""
-        place, dense, ids, weights, begin, room = self._tables()
-        size = self.first.size - 1
+        """For each query the examples and cosines, best first, ties by example: the k best at least, or all that share a term."""
+        place, order, dense, most, ids, weights, begin, own, own_at, own_weight = self._tables()
+        blocks, size, common = dense.shape[0], dense.shape[0] * BLOCK, dense.shape[1]
         for low in range(0, first.size - 1, QUERIES):
             cut = first[low : low + QUERIES + 1]
             t, w = term[cut[0] : cut[-1]], weight[cut[0] : cut[-1]]
             row, at = np.repeat(np.arange(cut.size - 1), np.diff(cut)), place[t]
-            query = np.zeros((cut.size - 1, dense.shape[0]), np.float32)
-            query[row[at >= 0], at[at >= 0]] = w[at >= 0]
-            sums = query @ dense
-            cut = cut - cut[0]
-            for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-                rare = a + np.flatnonzero(at[a:b] < 0)
-                lo, hi = begin[t[rare]], begin[t[rare] + 1]
-                some = np.flatnonzero(hi > lo)
-                if some.size:
-                    rare, lo, hi = rare[some], lo[some], hi[some]
-                    spans = list(zip(lo.tolist(), hi.tolist(), strict=True))
-                    parts = np.concatenate([weights[x:y] for x, y in spans]) * np.repeat(w[rare].astype(np.float32), hi - lo)
-                    sums[i] += np.bincount(np.concatenate([ids[x:y] for x, y in spans]), weights=parts, minlength=size)
-                least = np.partition(sums[i], size - k)[size - k] - ROUNDING if size > k else 0.0
-                found = np.flatnonzero((sums[i] > 0) & (sums[i] >= least))
-                counts = self.first[found + 1] - self.first[found]
-                mine = np.repeat(self.first[found] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-                room[t[a:b]] = w[a:b]
-                cosine = np.bincount(np.repeat(np.arange(found.size), counts), weights=self.weight[mine] * room[self.term[mine]], minlength=found.size)
-                room[t[a:b]] = 0.0
-                best = np.lexsort((found, -cosine))
-                yield found[best], cosine[best]
+            often = np.flatnonzero(at >= 0)
+            query = np.zeros((cut.size - 1, common))
+            query[row[often], at[often]] = w[often]
+            short = query.astype(np.float32)
+            begins, lengths = begin[t], np.where(at < 0, begin[t + 1] - begin[t], 0)
+            sums = np.empty((cut.size - 1, size))
+            for i in range(cut.size - 1):
+                mine = slice(cut[i] - cut[0], cut[i + 1] - cut[0])
+                length = lengths[mine]
+                from_ = np.repeat(begins[mine] - (np.cumsum(length) - length), length)
+                from_ += np.arange(from_.size)
+                parts = weights[from_]
+                parts *= np.repeat(w[mine], length)
+                sums[i] = np.bincount(ids[from_], weights=parts, minlength=size)
+            bounds = sums.reshape(-1, blocks, BLOCK).max(axis=2) + (short @ most + np.float32(ROUNDING))
+            least, read = np.zeros(cut.size - 1), np.zeros(bounds.shape, bool)
+            whole = sums.reshape(-1, blocks, BLOCK)
+            found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(cut.size - 1)]
+            for step in (FIRST, blocks):  # the best bounds first, then every block that still can matter
+                wanted = (bounds >= least[:, None]) & (bounds > ROUNDING) & ~read
+                if step < blocks:
+                    best = np.zeros(bounds.shape, bool)
+                    np.put_along_axis(best, np.argpartition(-bounds, step, axis=1)[:, :step], True, axis=1)
+                    wanted &= best
+                read |= wanted
+                block, which = np.nonzero(wanted.T)
+                start = np.searchsorted(block, np.arange(blocks + 1))
+                scores = np.empty((block.size, BLOCK), np.float32)
+                for j in np.flatnonzero(np.diff(start)).tolist():
+                    mine = slice(start[j], start[j + 1])
+                    np.matmul(short[which[mine]], dense[j], out=scores[mine])
+                scores += whole[which, block]
+                by_query = np.argsort(which, kind="stable")
+                cuts = np.searchsorted(which[by_query], np.arange(cut.size))
+                for i in range(cut.size - 1):
+                    mine = by_query[cuts[i] : cuts[i + 1]]
+                    found[i].append((block[mine], scores[mine]))
+                    flat = np.concatenate([x.ravel() for _, x in found[i]])
+                    if flat.size > k:
+                        least[i] = max(0.0, np.partition(flat, flat.size - k)[flat.size - k] - 2 * ROUNDING)
+            self.read[0] += int(read.sum())
+            self.read[1] += read.size
+            for i in range(cut.size - 1):
+                flat, mine = np.concatenate([x.ravel() for _, x in found[i]]), np.concatenate([b for b, _ in found[i]])
+                near = np.flatnonzero((flat > 0) & (flat >= least[i]))
+                near = mine[near // BLOCK] * BLOCK + near % BLOCK
+                counts = own[near + 1] - own[near]
+                theirs = np.repeat(own[near] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+                cosine = sums[i, near] + np.bincount(np.repeat(np.arange(near.size), counts), weights=own_weight[theirs] * query[i, own_at[theirs]], minlength=near.size)
+                near = order[near]
+                best = np.lexsort((near, -cosine))
+                yield near[best], cosine[best]
 
 
 def _shares(found: np.ndarray, cosine: np.ndarray, pos: np.ndarray, neg: np.ndarray, factor: tuple[float, float], base: float) -> float:
@@ -288,44 +317,50 @@ class Cues:
 
     def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, examples: list[tuple[list[int], int, int]], factor: tuple[float, float]):
         self.vocabulary, self.idf, self.factor = vocabulary, idf, factor
-        self.vectors = [self.weigh(v) for v, _, _ in examples]
+        self.terms = [np.array(v, np.int64) for v, _, _ in examples]
         self.pos, self.neg = np.array([p for _, p, _ in examples], float), np.array([n for _, _, n in examples], float)
-        self.index = BlockMaxIndex(self.vectors, vocabulary.size)
-        none = [i for i, v in enumerate(self.vectors) if not v]
+        first = np.concatenate(([0], np.cumsum([v.size for v in self.terms], dtype=np.int64)))
+        flat = np.concatenate([np.zeros(0, np.int64), *self.terms])
+        self.index = BlockMaxIndex(first, flat, np.concatenate([np.zeros(0), *map(self.weigh, self.terms)]), vocabulary.size)
+        none = [i for i, v in enumerate(self.terms) if not v.size]
         pos, neg = self.pos[none].sum() * factor[1], self.neg[none].sum() * factor[0]
         self.base = float((pos + 0.5) / (pos + neg + 1))
 
-    def weigh(self, terms: list[int]) -> list[tuple[int, float]]:
+    def weigh(self, terms: np.ndarray) -> np.ndarray:
         """TF-IDF of unit length; the levels of a term stand for its frequency."""
-        w = self.idf[terms] if terms else np.zeros(0)
-        norm = float(np.sqrt(w @ w))
-        return list(zip(terms, (w / norm).tolist(), strict=True)) if norm > 0 else []
-
-    def vote(self, vector: list[tuple[int, float]], but: int = -1, positive: bool = False) -> float:
-        """``but``: one example of that vector is left out."""
-        pos, neg = self.pos, self.neg
-        if but >= 0:
-            pos, neg = pos.copy(), neg.copy()
-            (pos if positive else neg)[but] -= 1
-        if not vector:
-            return self.base
-        found, cosine = self.index.nearest(vector, pos + neg, NEIGHBOURS)
-        return _shares(found, cosine, pos[found], neg[found], self.factor, self.base)
+        w = self.idf[terms]
+        return w / np.sqrt(w @ w) if w.size else w
+
+    def votes(self, queries: list[np.ndarray], but: list[tuple[int, bool]] | None = None) -> np.ndarray:
+        """``but``: for each query the vector and label of one example that is left out."""
+        out = np.full(len(queries), self.base)
+        some = [i for i, terms in enumerate(queries) if terms.size]
+        if not some:
+            return out
+        first = np.concatenate(([0], np.cumsum([queries[i].size for i in some], dtype=np.int64)))
+        flat, weight = np.concatenate([queries[i] for i in some]), np.concatenate([self.weigh(queries[i]) for i in some])
+        for i, (found, cosine) in zip(some, self.index.nearest(first, flat, weight, NEIGHBOURS + 1), strict=True):
+            pos, neg = self.pos[found], self.neg[found]
+            if but:
+                (pos if but[i][1] else neg)[found == but[i][0]] -= 1
+            out[i] = _shares(found, cosine, pos, neg, self.factor, self.base)
+        return out
 
 
 class Model:
     """Examples grouped by equal words, their index over all words, the cues, and the calibration of the two votes.
 
-    ``known``: sorted hashes of all words of the examples. ``factor``: labelled texts for each
-    example of a class, negative and positive. ``cue``: each group's place among those of ``cues``.
+    ``known``: sorted hashes of all words of the examples. ``ids``: the least doc_id of each group
+    (-1: null). ``factor``: labelled texts for each example of a class, negative and positive.
+    ``cue``: each group's place among those of ``cues``.
     """
 
-    def __init__(self, known: np.ndarray, idf: np.ndarray, vectors: list[np.ndarray], pos: np.ndarray, neg: np.ndarray, factor: tuple[float, float], cues: Cues, cue: np.ndarray):
-        self.known, self.idf, self.pos, self.neg, self.factor, self.cues, self.cue = known, idf, pos, neg, factor, cues, cue
+    def __init__(self, known: np.ndarray, idf: np.ndarray, vectors: list[np.ndarray], pos: np.ndarray, neg: np.ndarray, ids: np.ndarray, factor: tuple[float, float], cues: Cues, cue: np.ndarray):
+        self.known, self.idf, self.pos, self.neg, self.ids, self.factor, self.cues, self.cue = known, idf, pos, neg, ids, factor, cues, cue
         first = np.concatenate(([0], np.cumsum([len(v) for v in vectors], dtype=np.int64)))
         flat = np.concatenate([*vectors, np.zeros((0, 2), np.int32)])
         term, weight = flat[:, 0], self.weigh(first, flat[:, 0], flat[:, 1])
-        self.index = CosineIndex(first, term, weight, known.size)
+        self.index = BlockMaxIndex(first, term, weight, known.size)
         yes, no = pos.sum() * factor[1], neg.sum() * factor[0]
         self.base = float(yes / (yes + no)) if yes + no else 0.5
         self.line = np.array([0.0, 0.5, 0.5, 0.0, 1.0])
@@ -336,25 +371,30 @@ class Model:
         row = np.repeat(np.arange(first.size - 1), np.diff(first))
         return w / np.sqrt(np.bincount(row, weights=w * w, minlength=first.size - 1))[row]
 
-    def votes(self, part: pa.RecordBatch, text: int) -> Iterator[tuple[float, list[int]]]:
-        """For each text the vote by all words and the nearest groups."""
-        row, term, n = _word_counts(part, text, self.known)
-        first = np.searchsorted(row, np.arange(part.num_rows + 1))
+    def votes(self, words: Words) -> Iterator[tuple[float, list[tuple[int, float]]]]:
+        """For each text the vote by all words, and the nearest groups with their cosines."""
+        row, term, n = _word_counts(words, self.known)
+        first = np.searchsorted(row, np.arange(words.counts.size + 1))
         for found, cosine in self.index.nearest(first, term, self.weigh(first, term, n), NEIGHBOURS):
-            yield _shares(found, cosine, self.pos[found], self.neg[found], self.factor, self.base), found[:3].tolist()
+            yield _shares(found, cosine, self.pos[found], self.neg[found], self.factor, self.base), list(zip(found[:3].tolist(), cosine[:3].tolist(), strict=True))
 
-    def others(self, groups: np.ndarray) -> Iterator[tuple[float, float, bool, bool, float]]:
-        """Both votes that an example of each of the groups gets from all others, whether it has cues, its label, and the labelled texts it stands for."""
+    def others(self, groups: np.ndarray) -> np.ndarray:
+        """Columns: both votes that an example of each of the groups gets from all others, whether it has cues, its label, and the labelled texts it stands for."""
         cut = np.concatenate([np.arange(self.index.first[g], self.index.first[g + 1]) for g in groups])
         first = np.concatenate(([0], np.cumsum(self.index.first[groups + 1] - self.index.first[groups])))
         near = self.index.nearest(first, self.index.term[cut], self.index.weight[cut], NEIGHBOURS + 1)
+        words, queries, but, weights = [], [], [], []
         for g, (found, cosine) in zip(groups.tolist(), near, strict=True):
             for positive, n in ((True, self.pos[g] * self.factor[1]), (False, self.neg[g] * self.factor[0])):
                 if n > 0:
                     pos, neg = self.pos[found], self.neg[found]
                     (pos if positive else neg)[found == g] -= 1
-                    cues = self.cues.vectors[self.cue[g]]
-                    yield _shares(found, cosine, pos, neg, self.factor, self.base), self.cues.vote(cues, int(self.cue[g]), positive), bool(cues), positive, n
+                    words.append(_shares(found, cosine, pos, neg, self.factor, self.base))
+                    queries.append(self.cues.terms[self.cue[g]])
+                    but.append((int(self.cue[g]), positive))
+                    weights.append(n)
+        has = np.array([q.size > 0 for q in queries], float)
+        return np.stack([np.array(words), self.cues.votes(queries, but), has, np.array([float(y) for _, y in but]), np.array(weights)])
 
     @staticmethod
     def _planes(words: np.ndarray, cues: np.ndarray, has: np.ndarray) -> np.ndarray:
@@ -401,36 +441,37 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit(spark: SparkSession, docs: DataFrame, examples: DataFrame, text: str = "text", label: str = "label", most: int = EXAMPLES, labelled: dict[int, int] | None = None) -> Model:
+def fit(spark: SparkSession, docs: DataFrame, examples: DataFrame, text: str = "text", label: str = "label", doc_id: str = "doc_id", most: int = EXAMPLES, labelled: dict[int, int] | None = None) -> Model:
     """A model from ``examples`` (text, label 0/1) with corpus statistics of all ``docs``.
 
-    About ``most`` distinct texts of each class are examples, chosen by a hash of the text. All
-    their words are features of one vote, and all words and beginnings that depend on the label
-    (chi-square) of the other.
-    Rows with a null label are left out. ``labelled``: rows of each class, if ``examples`` are a
-    sample of them already. Document frequencies are counted over all of ``docs``.
+    About ``most`` rows of each class are examples, chosen by a hash of doc_id and text, so a text
+    that very many rows share is neither kept nor left as a whole. Equal texts of a label are one
+    example, and so are near copies: a text whose runs of five words are alike (Jaccard 0.8 or
+    more) to those of one of lesser hash goes, or else the words of a large family would pass for
+    evidence. All their words are features of one vote, and all words and beginnings that depend
+    on the label (chi-square) of the other. Rows with a null label are left out; a table without
+    labelled rows gives a model that scores 0.5; labelled rows of which none is drawn raise an error.
+    ``labelled``: rows of each class, if ``examples`` are a sample of them already. Document
+    frequencies are counted over all of ``docs``.
     """
     scratch = Scratch(spark, "toxicity")
-    texts = examples.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
-    texts = texts.withColumn("h", F.xxhash64("text"))
-    sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    texts = examples.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
+    texts = texts.withColumn("h", F.xxhash64("doc_id", "text"))
+    sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     few = F.lit(True)
     for value, n in sizes.items():
         if n > most:
             few = few & ((F.col("label") != value) | (F.pmod(F.col("h"), F.lit(1_000_003)) < int(1_000_003 * most / n)))
-    schema = f"text string, label int, h long, {', '.join(f'{c} long' for c in SKETCH_COLUMNS)}"
-    drawn = scratch.write(texts.where(few).dropDuplicates(["h", "label"]).select("text", "label", "h").mapInArrow(_sketches, schema))
-    # One example of each family of near copies, or else the words of a large family look like evidence.
-    single = drawn.drop("text")
-    for c in SKETCH_COLUMNS:
-        single = single.dropDuplicates([c, "label"])
-    # As bounded as the examples: about 2 * ``most`` rows of two numbers.
-    chosen = scratch.write(drawn.join(F.broadcast(single.select("h", "label")), ["h", "label"], "left_semi").select("text", "label"))
+    drawn = texts.where(few).groupBy("text", "label").agg(F.min("h").alias("h"), F.min("doc_id").alias("doc_id"))
+    drawn = scratch.write(drawn.mapInArrow(_sketches, "text string, label int, h long, doc_id long, keys array<long>"))
+    chosen = scratch.write(drawn.join(_near_copies_of_lesser(drawn), ["h", "label"], "left_anti").select("text", "label", "doc_id"))
+    if sizes and not chosen.head(1):
+        raise ValueError("no labelled row was drawn; raise the bound on examples")
 
     def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                row, term, n = _counts(part, 0)
+                row, term, n = _counts(_split(part, 0))
                 label_of = part.column(1).to_numpy()[row]
                 for level in LEVELS:
                     some = n >= level
@@ -461,7 +502,7 @@ def fit(spark: SparkSession, docs: DataFrame, examples: DataFrame, text: str = "
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.unique(Words(part.column(0), _ALNUM, lower=True).hashes())))], ["term"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.unique(_split(part, 0).hashes())))], ["term"])
 
     # All words of the bounded examples.
     every = spark.sparkContext.broadcast(np.sort(chosen.mapInArrow(hashed, "term long").distinct().toArrow().column("term").to_numpy().view(np.uint64)))
@@ -472,29 +513,32 @@ def fit(spark: SparkSession, docs: DataFrame, examples: DataFrame, text: str = "
         found = np.zeros(total + 1 + known.size, np.int64)
         for batch in batches:
             for part in slices(batch):
-                found[:total] += np.bincount(vocabulary.value.rows(part, 0)[1], minlength=total)[:total]
+                words = _split(part, 0)
+                found[:total] += np.bincount(vocabulary.value.rows(words)[1], minlength=total)[:total]
                 found[total] += part.num_rows
-                found[total + 1 :] += np.bincount(_word_counts(part, 0, known)[1], minlength=known.size)[: known.size]
+                found[total + 1 :] += np.bincount(_word_counts(words, known)[1], minlength=known.size)[: known.size]
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["place", "n"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                keys = [",".join(map(str, v)) for v in vocabulary.value.lists(part, 0)]
-                row, place, n = _word_counts(part, 0, every.value)
+                split = _split(part, 0)
+                keys = [",".join(map(str, v)) for v in vocabulary.value.lists(split)]
+                row, place, n = _word_counts(split, every.value)
                 cut = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
                 pairs = np.stack([place, n], axis=1).astype("<i4")
                 words = [pairs[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(keys, pa.string()), part.column(1)], ["words", "vector", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(keys, pa.string()), part.column(1), part.column(2)], ["words", "vector", "label", "doc_id"])
 
     counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(hashes.size + 1 + every.value.size)
     df[counted.column("place").to_numpy()] = counted.column("n").to_numpy()
     idf = np.log((1 + df[hashes.size]) / (1 + df)) + 1
     # Texts of equal words have equal cues.
-    grouped = chosen.mapInArrow(vectors, "words binary, vector string, label int").groupBy("words", "vector").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).toArrow()
+    grouped = chosen.mapInArrow(vectors, "words binary, vector string, label int, doc_id long").groupBy("words", "vector").agg(F.sum("label").alias("pos"), F.count("*").alias("n"), F.coalesce(F.min("doc_id"), F.lit(-1)).alias("id")).toArrow()
     grouped = grouped.sort_by([("words", "ascending")])
+    ids = grouped.column("id").to_numpy()
     pos = grouped.column("pos").to_numpy().astype(float)
     neg = grouped.column("n").to_numpy() - pos
     names, cue = np.unique(np.array(grouped.column("vector").to_pylist(), object).astype(str), return_inverse=True) if grouped.num_rows else (np.zeros(0, str), np.zeros(0, np.int64))
@@ -503,14 +547,13 @@ def fit(spark: SparkSession, docs: DataFrame, examples: DataFrame, text: str = "
     known = labelled or sizes
     factor = tuple(known.get(y, 0) / max(totals.get(y, 0), 1) for y in (0, 1))
     words = [np.frombuffer(x, "<i4").reshape(-1, 2) for x in grouped.column("words").to_pylist()]
-    model = Model(every.value, idf[hashes.size + 1 :], words, pos, neg, factor, Cues(vocabulary.value, idf[: hashes.size], parsed, factor), cue)
+    model = Model(every.value, idf[hashes.size + 1 :], words, pos, neg, ids, factor, Cues(vocabulary.value, idf[: hashes.size], parsed, factor), cue)
     shared = spark.sparkContext.broadcast(model)
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = list(shared.value.others(batch.column(0).to_numpy()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.float64()) for x in zip(*found, strict=True)], ["words", "cues", "has", "y", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in shared.value.others(batch.column(0).to_numpy())], ["words", "cues", "has", "y", "w"])
 
     if grouped.num_rows:
         votes = spark.range(0, grouped.num_rows, 1, -(-grouped.num_rows // (4 * QUERIES))).mapInArrow(others, "words double, cues double, has double, y double, w double").toArrow()
@@ -518,17 +561,19 @@ def fit(spark: SparkSession, docs: DataFrame, examples: DataFrame, text: str = "
     shared.unpersist()
     every.unpersist()
     vocabulary.unpersist()
-    scratch.drop(chosen)
+    scratch.drop(drawn, chosen)
     return model
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, score, neighbours) for every row, and the columns ``carry``: the calibrated vote of the nearest examples.
 
-    ``neighbours`` counts (positive, negative, in the three nearest groups) as evidence. Texts that
-    share no word with the examples, empty and null ones among them, get the share of positive
-    examples as that vote. Repeated rows stay; an empty table gives no rows; other columns are
-    not read.
+    ``neighbours``, the evidence: the three nearest groups of examples with equal words, by their
+    least doc_id, with cosine and number of positive and negative examples; equal cosines rank by
+    the groups' fixed order. Texts that share no word with the examples, empty and null ones among
+    them, get the share of positive examples as that vote. Repeated rows stay; an empty table
+    gives no rows; columns not carried are not read, and a carried column may not be named score
+    or neighbours.
     """
     shared = spark.sparkContext.broadcast(model)
 
@@ -537,19 +582,20 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text"
         m = shared.value
         for batch in batches:
             for part in slices(batch, "_text"):
+                words = _split(part, 1)
+                keys = [tuple(terms) for terms in m.cues.vocabulary.lists(words)]
+                if len(known) > 100_000:
+                    known.clear()
+                fresh = list({key for key in keys if key not in known})
+                known.update(zip(fresh, m.cues.votes([np.array(key, np.int64) for key in fresh]).tolist(), strict=True))
                 votes, evidence = [], []
-                for terms, (vote, near) in zip(m.cues.vocabulary.lists(part, 1), m.votes(part, 1), strict=True):
-                    key = tuple(terms)
-                    if key not in known:
-                        if len(known) > 100_000:
-                            known.clear()
-                        known[key] = m.cues.vote(m.cues.weigh(terms))
+                for key, (vote, near) in zip(keys, m.votes(words), strict=True):
                     votes.append((vote, known[key], float(bool(key))))
-                    evidence.append([{"positive": float(m.pos[x]), "negative": float(m.neg[x])} for x in near])
+                    evidence.append([{"doc_id": int(m.ids[x]), "cosine": c, "positive": int(m.pos[x]), "negative": int(m.neg[x])} for x, c in near])
                 out = m.probability(*np.array(votes).T)
-                kind = pa.list_(pa.struct([("positive", pa.float64()), ("negative", pa.float64())]))
+                kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("positive", pa.int64()), ("negative", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64()), pa.array(evidence, kind), *part.columns[2:]], ["doc_id", "score", "neighbours", *carry])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text"), *carry)
-    schema = StructType.fromDDL("doc_id long, score double, neighbours array<struct<positive: double, negative: double>>")
+    schema = StructType.fromDDL("doc_id long, score double, neighbours array<struct<doc_id: long, cosine: double, positive: long, negative: long>>")
     return source.mapInArrow(run, StructType([*schema.fields, *source.schema.fields[2:]]))

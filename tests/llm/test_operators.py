@@ -270,24 +270,6 @@ def test_op9(spark, tmp_path):
     assert by_id[901]["predicted"] == 0 and by_id[902]["predicted"] == 1
 
 
-def test_block_max_is_exact():
-    from evalgrid.llm.toxicity import BlockMaxIndex
-
-    rng = np.random.default_rng(1)
-    vectors = []
-    for _ in range(900):
-        t = sorted(rng.choice(30, rng.integers(1, 5), replace=False).tolist())
-        w = rng.random(len(t))
-        vectors.append(list(zip(t, (w / np.linalg.norm(w)).tolist(), strict=True)))
-    index, mass = BlockMaxIndex(vectors, 30), np.ones(900)
-    for q in vectors[:100]:
-        found, scores = index.nearest(q, mass, 15)
-        dense = np.array([sum(a * dict(v).get(t, 0.0) for t, a in q) for v in vectors])
-        expected = sorted(range(900), key=lambda i: (-round(dense[i], 12), i))[:15]
-        assert np.allclose(scores, np.sort(dense)[::-1][: len(scores)]) and len(found) >= min(15, (dense > 0).sum())
-        assert np.allclose(dense[found[:15]], dense[expected[: len(found[:15])]])
-
-
 def test_op10(spark, folder):
     path, docs = folder
     assert rows(Q.op10_substring_dedup(spark, path)) == sorted(brute.op10(docs))

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 
 def made(n, seed=3):
@@ -26,7 +27,7 @@ def made(n, seed=3):
 
 
 def test_votes_are_of_the_whole_vocabulary_with_real_frequencies(spark):
-    from evalgrid.llm.toxicity import NEIGHBOURS, fit
+    from evalgrid.llm.toxicity import NEIGHBOURS, _split, fit
 
     rows = made(700)
     docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
@@ -46,7 +47,7 @@ def test_votes_are_of_the_whole_vocabulary_with_real_frequencies(spark):
     part = pa.RecordBatch.from_arrays([pa.array(queries)], ["text"])
     labels = np.array([y for _, _, y in rows])
     base = labels.mean()
-    for text, (vote, _) in zip(queries, model.votes(part, 0), strict=True):
+    for text, (vote, _) in zip(queries, model.votes(_split(part, 0)), strict=True):
         q = unit(Counter(text.split()))
         cosine = np.array([sum(x * e.get(w, 0.0) for w, x in q.items()) for e in examples])
         best = np.argsort(-cosine, kind="stable")[: NEIGHBOURS + 1]
@@ -67,15 +68,42 @@ def test_texts_without_cues_are_compared_too(spark):
     assert all(r["neighbours"] for r in found if r["doc_id"] < 2) and len({r["score"] for r in found}) > 1
 
 
-def test_cosine_index_is_exact():
-    from evalgrid.llm.toxicity import CosineIndex
+@pytest.mark.parametrize("often", [0.02, 0.3])
+def test_block_max_index_is_exact_and_skips_blocks(often):
+    from evalgrid.llm.toxicity import BlockMaxIndex
 
     rng = np.random.default_rng(1)
-    dense = rng.random((900, 500)) * (rng.random((900, 500)) < rng.choice([0.02, 0.3], 500))
+    dense = rng.random((900, 500)) * (rng.random((900, 500)) < rng.choice([0.02, often], 500))
+    dense[:, :20] = 0
+    for kind in range(10):  # families that share common words
+        dense[kind * 90 : (kind + 1) * 90, 2 * kind : 2 * kind + 2] = 3 + rng.random((90, 2))
+    dense[13] = dense[700]
     dense /= np.linalg.norm(dense, axis=1, keepdims=True)
     row, term = np.nonzero(dense)
     first = np.searchsorted(row, np.arange(901))
-    index = CosineIndex(first, term, dense[row, term], 500)
+    index = BlockMaxIndex(first, term, dense[row, term], 500)
     for i, (found, cosine) in enumerate(index.nearest(first, term, dense[row, term], 15)):
-        best = np.sort(dense @ dense[i])[::-1][:15]
-        assert found[0] == i and np.allclose(cosine[:15], best, rtol=0, atol=1e-12)
+        exact = dense @ dense[i]
+        assert np.allclose(cosine[:15], np.sort(exact)[::-1][:15], rtol=0, atol=1e-12) and np.allclose(exact[found], cosine, rtol=0, atol=1e-12)
+        assert i in found[:2].tolist()
+    read, all_blocks = index.read
+    assert read < 0.6 * all_blocks
+
+
+def test_near_copies_among_the_examples_are_one(spark):
+    from evalgrid.llm.toxicity import fit
+
+    rng = random.Random(5)
+    rows = [(i, t, y) for i, t, y in made(60)]
+    long = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    for i in range(40):  # one word of 200 differs: 0.95 alike
+        copy = list(long)
+        copy[rng.randrange(200)] = f"x{i}"
+        rows.append((1000 + i, " ".join(copy), 1))
+    unlike = " ".join(long[:100] + [f"y{rng.randrange(10**6)}" for _ in range(100)])
+    rows += [(2000, unlike, 1), (2001, unlike, 1), (2002, unlike, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = fit(spark, df, df)
+    ids = set(model.ids.tolist())
+    assert len([i for i in ids if 1000 <= i < 1040]) < 5 and 2000 in ids and 2001 not in ids
+    assert int(model.pos.sum() + model.neg.sum()) == len(model.ids) + 1  # 2000 and 2002 have equal words
