@@ -160,6 +160,35 @@ def without_keys(m: Col, *keys: str) -> Column:
     return F.map_filter(col(m), lambda k, _: ~k.isin(*keys))
 
 
+def map_get(m: Col, key: str, default: Col) -> Column:
+    """The value of a key, or the default where the map or the key is missing."""
+    return F.coalesce(F.try_element_at(col(m), F.lit(key)), col(default))
+
+
+def key_set(m: Col) -> Column:
+    """The distinct keys of a map, in order."""
+    return F.array_sort(F.array_distinct(F.map_keys(col(m))))
+
+
+def names_of(items: Col) -> Column:
+    """The ``name`` of each struct of an array, in place."""
+    return F.transform(col(items), lambda v: v["name"])
+
+
+def page_slice(items: Col, number: int, size: int) -> Column:
+    """A page of an array, from 1."""
+    return F.slice(col(items), (max(number, 1) - 1) * size + 1, size)
+
+
+def label(template: str, *values: Col) -> Column:
+    """A text from a printf template."""
+    return F.format_string(template, *[col(v) for v in values])
+
+
+def filled_or(c: Col, default: str = "unknown") -> Column:
+    return F.coalesce(col(c), F.lit(default))
+
+
 def map_text(m: Col) -> Column:
     """``key value`` pairs of a map joined by blanks."""
     return F.array_join(F.transform(F.map_entries(col(m)), lambda e: F.concat_ws(" ", e["key"], e["value"])), " ")

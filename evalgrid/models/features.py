@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalgrid.functions.columns import AMINO_ACIDS, one_hot
+from evalgrid.sources.staging import exists, staged
 
 
 def max_length(df: DataFrame, sequence: str = "sequence") -> int:
@@ -42,18 +46,51 @@ def gather(df: DataFrame, embeddings: DataFrame, key: str = "embedding_index") -
 def row_numbered(df: DataFrame, order: str, name: str = "embedding_index") -> DataFrame:
     """Consecutive numbers from 0 in the order of a unique column, without one task for all rows.
 
-    Rows are range-partitioned; each partition is numbered from the count of those before it.
+    Rows are range-partitioned and written, since a second run would draw other bounds; each
+    partition is then numbered from the count of those before it.
     """
     spark = df.sparkSession
-    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_within", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    ranged = staged(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "numbered")
     sizes = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}  # a row a partition
     done, starts = 0, []
     for part in sorted(sizes):
         starts.append((part, done))
         done += sizes[part]
     before = spark.createDataFrame(starts, "_part int, _before long")
+    ranged = ranged.withColumn("_within", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_within") - 1).drop("_part", "_within", "_before")
 
 
+def cached_embeddings(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The embeddings written at ``path``; made and written first where there are none."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+@dataclass(frozen=True)
+class Embedder:
+    """Pooled embeddings of sequences from a table of (key, pos, embedding): fit learns nothing but the table."""
+
+    pooling: str = "mean"
+    key: str = "sequence"
+    position: str = "pos"
+
+    def fit(self, tokens: DataFrame) -> EmbedderModel:
+        if self.pooling not in POOLING:
+            raise ValueError(f"unknown pooling: {self.pooling}")
+        pooled = mean_pool(tokens, self.key) if self.pooling == "mean" else last_pool(tokens, self.key, self.position)
+        return EmbedderModel(pooled, self.key)
+
+
+@dataclass(frozen=True)
+class EmbedderModel:
+    table: DataFrame
+    key: str
+
+    def transform(self, df: DataFrame, output: str = "features") -> DataFrame:
+        """``df`` with the pooled embedding of each row's key; keys without one are left out."""
+        return df.join(self.table.withColumnRenamed("pooled", output), self.key)
+
+
 POOLING = {"mean": mean_pool, "last": last_pool}

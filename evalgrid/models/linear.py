@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,75 +25,130 @@ class Linear:
         return F.aggregate(products, F.lit(float(self.intercept)), lambda s, v: s + v)
 
 
-def moments(df: DataFrame, features: str, target: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, column sums and the matrix of products of (features, target); rows with a null or NaN target are left out.
+#: Features up to which one matrix of products is summed; beyond it each product with a vector is a pass.
+DENSE = 512
 
-    Each task sums its rows and sends one matrix of (d + 1) ** 2 numbers.
-    """
+
+def _rows(df: DataFrame, features: str, target: str) -> DataFrame:
+    return df.where(F.col(target).isNotNull() & ~F.isnan(target)).select(F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"))
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """The features of a batch as rows, from their flat buffer."""
+    lists = batch.column(0)
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _summed(rows: DataFrame, parts: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all batches of an array made of a batch's features and targets, added up in ranges of SPAN numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, sums, products = 0, None, None
+        total = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.stack([np.asarray(v, float) for v in batch.column(0).to_pylist()])
-            z = np.column_stack([x, batch.column(1).to_numpy()])
-            n += len(z)
-            sums = z.sum(axis=0) if sums is None else sums + z.sum(axis=0)
-            products = z.T @ z if products is None else products + z.T @ z
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tolist()]), pa.array([products.ravel().tolist()])], ["n", "sums", "products"])
-
-    rows = df.where(F.col(target).isNotNull() & ~F.isnan(target)).select(F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"))
-    parts = rows.mapInArrow(run, "n long, sums array<double>, products array<double>")
-    flat = parts.select("n", F.posexplode(F.concat("sums", "products")).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).orderBy("i").collect()
-    if not flat:
+            if batch.num_rows:
+                part = parts(_matrix(batch), batch.column(1).to_numpy())
+                total = part if total is None else total + part
+        if total is not None:
+            at = range(0, total.size, SPAN)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([total[i : i + SPAN].tolist() for i in at])], ["at", "part"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.stack([p.values.to_numpy() for p in group["part"]]).sum(axis=0)
+        return pa.table({"at": group["at"].slice(0, 1), "part": pa.array([total])})
+
+    found = rows.mapInArrow(run, "at long, part array<double>").groupBy("at").applyInArrow(add, "at long, part array<double>").toArrow().sort_by("at")
+    if not found.num_rows:
         raise ValueError("no rows with a target")
-    values = np.array([r["v"] for r in flat])
-    d = int((-1 + np.sqrt(1 + 4 * values.size)) / 2)
-    return flat[0]["n"], values[:d], values[d:].reshape(d, d)
+    return found["part"].combine_chunks().flatten().to_numpy()
 
 
-def fit_ridge(df: DataFrame, features: str, target: str, alpha: float = 1.0) -> Linear:
-    """Ridge regression with an intercept that is not penalised."""
-    n, sums, products = moments(df, features, target)
-    mean = sums / n
-    cov = products - n * np.outer(mean, mean)
-    w = np.linalg.solve(cov[:-1, :-1] + alpha * np.eye(len(mean) - 1), cov[:-1, -1])
-    return Linear(tuple(w), float(mean[-1] - w @ mean[:-1]))
+SPAN = 1 << 14
+
+
+class Products:
+    """Centred sums of products of features and target: ``xy``, the diagonal ``xx``, and ``times(v)``, the matrix with a vector.
+
+    Up to DENSE features the matrix is summed in one pass of DENSE ** 2 numbers at most; beyond
+    that each ``times`` is a pass that sums as many numbers as there are features.
+    """
+
+    def __init__(self, df: DataFrame, features: str, target: str):
+        self.rows = _rows(df, features, target)
+        sums = _summed(self.rows, lambda x, y: np.concatenate([[len(y), y.sum(), y @ y], x.sum(axis=0), (x * x).sum(axis=0), y @ x]))
+        d = (sums.size - 3) // 3
+        self.n, self.y, yy = float(sums[0]), sums[1] / sums[0], sums[2]
+        self.mean = sums[3 : 3 + d] / self.n
+        self.yy = yy - self.n * self.y**2
+        self.xx = sums[3 + d : 3 + 2 * d] - self.n * self.mean**2
+        self.xy = sums[3 + 2 * d :] - self.n * self.mean * self.y
+        self.matrix = None
+        if d <= DENSE:
+            whole = _summed(self.rows, lambda x, y: (x.T @ x).ravel()).reshape(d, d)
+            self.matrix = whole - self.n * np.outer(self.mean, self.mean)
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        if self.matrix is not None:
+            return self.matrix @ v
+        return _summed(self.rows, lambda x, y: (x @ v) @ x) - self.n * self.mean * float(self.mean @ v)
+
+
+def fit_ridge(df: DataFrame, features: str, target: str, alpha: float = 1.0, steps: int = 500) -> Linear:
+    """Ridge regression with an intercept that is not penalised: solved at once, or by conjugate gradients where features are many."""
+    p = Products(df, features, target)
+    if p.matrix is not None:
+        w = np.linalg.solve(p.matrix + alpha * np.eye(p.mean.size), p.xy)
+    else:
+        w, r = np.zeros(p.mean.size), p.xy.copy()
+        q, size = r.copy(), float(r @ r)
+        goal = 1e-20 * size
+        for _ in range(steps):
+            if size <= goal:
+                break
+            along = p.times(q) + alpha * q
+            a = size / float(q @ along)
+            w, r = w + a * q, r - a * along
+            size, before = float(r @ r), size
+            q = r + size / before * q
+        else:
+            raise RuntimeError(f"conjugate gradients did not settle in {steps} steps")
+    return Linear(tuple(w.tolist()), float(p.y - w @ p.mean))
 
 
 def fit_pls(df: DataFrame, features: str, target: str, components: int = 2) -> Linear:
     """Partial least squares for one target; features and target are centred and scaled by sample deviations.
 
-    A deflated cross product gives each weight vector, all from the summed moments.
+    A deflated cross product gives each weight vector; a component takes one product of the matrix
+    with a vector.
     """
-    n, sums, products = moments(df, features, target)
-    mean = sums / n
-    cov = (products - n * np.outer(mean, mean)) / max(n - 1, 1)
-    std = np.sqrt(np.maximum(np.diag(cov), 0))
+    p = Products(df, features, target)
+    free = max(p.n - 1, 1)
+    std, std_y = np.sqrt(np.maximum(p.xx / free, 0)), float(np.sqrt(max(p.yy / free, 0)))
     std[std < 1e-12] = 1.0
-    corr = cov / np.outer(std, std)
-    sxx, sxy = corr[:-1, :-1], corr[:-1, -1].copy()
-    weights, loadings, shares = [], [], []
-    left = sxx.copy()
-    for _ in range(min(components, len(sxy))):
-        size = np.linalg.norm(sxy)
+    std_y = 1.0 if std_y < 1e-12 else std_y
+    left = p.xy / free / std / std_y
+    weights, loadings, shares, sizes = [], [], [], []
+    for _ in range(min(components, left.size)):
+        size = np.linalg.norm(left)
         if size < 1e-12:
             break
-        w = sxy / size
-        t = w @ left @ w
+        w = left / size
+        along = p.times(w / std) / free / std
+        for q, t in zip(loadings, sizes, strict=True):
+            along = along - t * q * float(q @ w)
+        t = float(w @ along)
         if t < 1e-15:
             break
-        p, q = left @ w / t, sxy @ w / t
+        q, share = along / t, float(left @ w) / t
         weights.append(w)
-        loadings.append(p)
-        shares.append(q)
-        left = left - t * np.outer(p, p)
-        sxy = sxy - t * q * p
+        loadings.append(q)
+        shares.append(share)
+        sizes.append(t)
+        left = left - t * share * q
+    b = np.zeros(left.size)
     if weights:
-        w, p, q = np.array(weights).T, np.array(loadings).T, np.array(shares)
-        b = w @ np.linalg.solve(p.T @ w, q) * std[-1] / std[:-1]
-    else:
-        b = np.zeros(len(mean) - 1)
-    return Linear(tuple(b), float(mean[-1] - b @ mean[:-1]))
+        w, q = np.array(weights).T, np.array(loadings).T
+        b = w @ np.linalg.solve(q.T @ w, np.array(shares)) * std_y / std
+    return Linear(tuple(b.tolist()), float(p.y - b @ p.mean))
+
+
+MODELS = {"pls": fit_pls, "ridge": fit_ridge}

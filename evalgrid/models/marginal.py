@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalgrid.operators.leaderboard import first_row
+
 STRATEGIES = ("wt-marginals", "masked-marginals", "pseudo-ppl")
 
 
@@ -15,6 +17,12 @@ def log_probabilities(logits: DataFrame, by: tuple[str, ...] = ("pos",)) -> Data
     return logits.withColumn("_top", top).withColumn("logp", F.col("logit") - F.col("_top") - F.log(F.sum(F.exp(F.col("logit") - F.col("_top"))).over(w))).drop("_top")
 
 
+def wild_type(records: DataFrame, order: str = "record_idx", kind: str = "type", sequence: str = "sequence") -> str:
+    """The sequence of the first record of type WILD_TYPE; an error when there is none."""
+    found = first_row(records.where(F.col(kind) == "WILD_TYPE"), order, "wild type sequence")
+    return found.select(sequence).first()[0]
+
+
 def difference_scores(mutants: DataFrame, wild_type: str, logp: DataFrame, key: str, sequence: str = "sequence", offset: int = 1) -> DataFrame:
     """(key, score): sum over differing places of logp(mutant) - logp(wild type).
 

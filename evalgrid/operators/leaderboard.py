@@ -86,6 +86,33 @@ def search_any(df: DataFrame, query: str, *columns: Column) -> DataFrame:
     return df.where(found) if query else df
 
 
+def first_row(df: DataFrame, order: str, what: str) -> DataFrame:
+    """The row of the smallest ``order``; an error that names ``what`` when there is none (one row is read)."""
+    found = df.orderBy(order).limit(1)
+    if not found.head(1):
+        raise ValueError(f"no {what}")
+    return found
+
+
+def lookup(df: DataFrame, slug: str, column: str = "slug") -> DataFrame:
+    """The row of a slug."""
+    return df.where(named(column) == slug).limit(1)
+
+
+def catalog_filter(df: DataFrame, split: str | None = None, tag: str | None = None, names: Sequence[str] = ()) -> DataFrame:
+    """Catalog rows of a split, with a tag, and of one of some names; what is not given holds always."""
+    if split is not None:
+        df = df.where(F.col("split") == split)
+    if tag is not None:
+        df = df.where(F.array_contains("tags", tag))
+    return df.where(F.col("name").isin(*names)) if names else df
+
+
+def catalog_counts(df: DataFrame, by: str = "split", name: str = "name") -> DataFrame:
+    """(by, jobs, datasets): catalog rows and distinct names of each value."""
+    return df.groupBy(by).agg(F.count("*").alias("jobs"), F.countDistinct(name).alias("datasets"))
+
+
 def sorted_rows(df: DataFrame, column: str | None, direction: str | None, tie: str, numeric: bool = False) -> DataFrame:
     """Rows in the order of a column, as number or as collated text; ties by a unique column."""
     if column is None or direction is None:

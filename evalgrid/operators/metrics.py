@@ -63,19 +63,49 @@ def rmse() -> Column:
     return F.sqrt(F.avg((F.col("y") - F.col("yhat")) * (F.col("y") - F.col("yhat"))))
 
 
-def ranked(df: DataFrame, by: Sequence[str], y: str = "y", yhat: str = "yhat", row_id: str = "row_id") -> DataFrame:
+def ranked(df: DataFrame, by: Sequence[str], y: str = "y", yhat: str = "yhat", row_id: str = "row_id", cuts: dict[str, list[float]] | None = None) -> DataFrame:
     """``df`` with the canonical columns: all windows share one exchange on ``by``.
 
     The average of the row numbers of equal values is their average rank, and the row number is
     also the place, so a column costs two sorts. Nulls become NaN, which sorts last.
+
+    ``cuts`` (``value_cuts``), for groups too large for one task: rows are dealt by group and range
+    of values, numbered there, and moved up by the sizes of the group's lower ranges.
     """
     out = df.withColumns({c: F.coalesce(F.col(v).cast("double"), F.lit(NAN)) for c, v in (("y", y), ("yhat", yhat))})
     if "top_k" not in out.columns:
         out = out.withColumn("top_k", F.lit(None).cast("int"))
-    for c in ("y", "yhat"):
-        out = out.withColumn(f"place_{c}", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(c), F.col(row_id))))
-        out = out.withColumn(f"rank_{c}", F.avg(f"place_{c}").over(Window.partitionBy(*by, c)))
-    return out.withColumn("n", F.count("*").over(Window.partitionBy(*by)))
+    if cuts is None:
+        for c in ("y", "yhat"):
+            out = out.withColumn(f"place_{c}", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(c), F.col(row_id))))
+            out = out.withColumn(f"rank_{c}", F.avg(f"place_{c}").over(Window.partitionBy(*by, c)))
+        return out.withColumn("n", F.count("*").over(Window.partitionBy(*by)))
+    out = out.withColumns({f"_range_{c}": _range(F.col(c), cuts[c]) for c in ("y", "yhat")})
+    ranges = [f"_range_{c}" for c in ("y", "yhat")]
+    sizes = out.groupBy(*by, *ranges).agg(F.count("*").alias("_size"))  # a row for each group and two ranges
+    for c, r in zip(("y", "yhat"), ranges, strict=True):
+        lower = sizes.groupBy(*by, r).agg(F.sum("_size").alias("_size"))
+        before = F.sum("_size").over(Window.partitionBy(*by).orderBy(r)) - F.col("_size")
+        lower = lower.select(*by, r, before.alias(f"_below_{c}"), F.sum("_size").over(Window.partitionBy(*by)).alias("n"))
+        lower = lower if c == "y" else lower.drop("n")
+        within = F.row_number().over(Window.partitionBy(*by, r).orderBy(F.col(c), F.col(row_id)))
+        mean = F.avg("_within").over(Window.partitionBy(*by, r, c))
+        out = out.withColumn("_within", within).withColumn("_mean", mean).join(F.broadcast(lower), [*by, r])
+        out = out.withColumns({f"place_{c}": F.col(f"_below_{c}") + F.col("_within"), f"rank_{c}": F.col(f"_below_{c}") + F.col("_mean")}).drop("_within", "_mean", f"_below_{c}")
+    return out.drop(*ranges)
+
+
+RANGES = 32
+
+
+def value_cuts(values: DataFrame, column: str) -> list[float]:
+    """Bounds of about RANGES ranges of a column that hold about as many rows each."""
+    return sorted(set(values.select(F.col(column).cast("double").alias("v")).approxQuantile("v", [i / RANGES for i in range(1, RANGES)], 0.005)))
+
+
+def _range(value: Column, cuts: list[float]) -> Column:
+    """The number of cuts below a value; NaN is above all."""
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < value))
 
 
 def known_metrics(names: Sequence[str] | None) -> list[str]:
@@ -89,10 +119,10 @@ def known_metrics(names: Sequence[str] | None) -> list[str]:
     return chosen
 
 
-def score(df: DataFrame, metrics: Sequence[str] | None, by: Sequence[str], y: str = "y", yhat: str = "yhat", row_id: str = "row_id") -> DataFrame:
-    """One row for each group with a column for each metric and ``n``."""
+def score(df: DataFrame, metrics: Sequence[str] | None, by: Sequence[str], y: str = "y", yhat: str = "yhat", row_id: str = "row_id", cuts: dict[str, list[float]] | None = None) -> DataFrame:
+    """One row for each group with a column for each metric and ``n``; ``cuts`` as in ``ranked``."""
     names = known_metrics(metrics)
-    return ranked(df, by, y, yhat, row_id).groupBy(*by).agg(F.count("*").alias("n"), *[REGISTRY[m]().alias(m) for m in names])
+    return ranked(df, by, y, yhat, row_id, cuts).groupBy(*by).agg(F.count("*").alias("n"), *[REGISTRY[m]().alias(m) for m in names])
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -109,7 +139,8 @@ def global_average_rank(df: DataFrame, value: str, buckets: int = 64) -> DataFra
     """``df`` with ``rank`` over all rows, without a task that sorts them all.
 
     Distinct values are counted, ranged into buckets by approximate quantiles, numbered within
-    their bucket and moved up by the counts of the lower buckets; then joined back by value.
+    their bucket and moved up by the counts of the lower buckets; then joined back by value. Nulls
+    rank first, NaN last, as in ``average_rank``.
     """
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
     cuts = sorted(set(counts.where(F.col(value).isNotNull()).approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.001)))
@@ -122,4 +153,5 @@ def global_average_rank(df: DataFrame, value: str, buckets: int = 64) -> DataFra
     within = F.sum("_n").over(Window.partitionBy("_bucket").orderBy(value))
     counts = counts.withColumn("_upto", within).join(F.broadcast(lower), "_bucket")
     ranks = counts.select(value, (F.col("_below") + F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias("rank"))
-    return df.join(ranks, value)
+    ranks = ranks.withColumnRenamed(value, "_value")
+    return df.join(ranks, F.col(value).eqNullSafe(F.col("_value"))).drop("_value")

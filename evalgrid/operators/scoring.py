@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from evalgrid.functions.columns import named
@@ -53,13 +53,24 @@ def missing_keys(truth: DataFrame, predicted: DataFrame, keys: Sequence[str] = (
     return truth.join(predicted.select(*[named(k) for k in keys]), list(keys), "left_anti")
 
 
-def checked_scoring_frame(truth: DataFrame, predicted: DataFrame, target: str, variables: Sequence[str] = (), strict: bool = False, extra: Sequence[str] = ()) -> DataFrame:
-    """The scoring frame, or ValueError if predictions are missing (``strict``: for any single row)."""
+def check_target(truth: DataFrame, predicted: DataFrame, target: str) -> None:
     for side, df in (("Truth", truth), ("Predictions", predicted)):
         if not isinstance(df, DataFrame):
             raise TypeError(f"{side} must be a DataFrame, not {type(df).__name__}.")
         if target not in df.columns:
             raise ValueError(f"{side} lack the target {target}.")
+
+
+def check_coverage(scores: Sequence[Row]) -> None:
+    """ValueError for the first group of collected scores with fewer rows than its truth: repeated keys can hide a gap within a group."""
+    for r in scores:
+        if r["expected"] > r["n"]:
+            raise ValueError(f"Missing {r['expected'] - r['n']} prediction(s).")
+
+
+def checked_scoring_frame(truth: DataFrame, predicted: DataFrame, target: str, variables: Sequence[str] = (), strict: bool = False, extra: Sequence[str] = ()) -> DataFrame:
+    """The scoring frame, or ValueError if predictions are missing (``strict``: for any single row)."""
+    check_target(truth, predicted, target)
     keys = join_keys(truth, predicted, variables)
     joined = scoring_frame(truth, predicted, target, keys, extra)
     missing = missing_keys(truth, predicted, keys).count() if strict else missing_count(truth, joined)
@@ -68,10 +79,15 @@ def checked_scoring_frame(truth: DataFrame, predicted: DataFrame, target: str, v
     return joined
 
 
+def unmatched_predictions(records: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Predictions whose sequence is no record's."""
+    return predictions.join(records.select(SEQUENCE), SEQUENCE, "left_anti")
+
+
 def predictions_delta(records: DataFrame, predictions: DataFrame, target: str, allow_extra: bool = False) -> DataFrame:
     """Records that have a prediction, with the predicted target in place of their own; other columns stay."""
     if not allow_extra:
-        extra = predictions.join(records.select(SEQUENCE), SEQUENCE, "left_anti").count()
+        extra = unmatched_predictions(records, predictions).count()
         if extra:
             raise ValueError(f"{extra} prediction(s) match no record.")
     kept = [named(c) for c in records.columns if c != target]

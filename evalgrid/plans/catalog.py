@@ -20,7 +20,7 @@ from evalgrid.operators import leaderboard as L
 from evalgrid.operators.aggregate import aggregate, flatten_wide
 from evalgrid.operators.metrics import average_rank, score
 from evalgrid.operators.modes import score_modes
-from evalgrid.operators.scoring import join_keys, missing_count, missing_keys, predictions_delta, scoring_frame
+from evalgrid.operators.scoring import join_keys, missing_count, missing_keys, predictions_delta, scoring_frame, unmatched_predictions
 from evalgrid.sources.readers import catalog_rows, job_matrix
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -225,8 +225,7 @@ def predictions_delta_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select count(*) as extra from labels where doc_id not in (select doc_id from documents where lang = 'en')")
 def predictions_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("sequence"))
-    extra = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sequence")).join(records, "sequence", "left_anti")
-    return extra.agg(F.count("*").alias("extra"))
+    return unmatched_predictions(records, _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sequence"))).agg(F.count("*").alias("extra"))
 
 
 # Folds
@@ -327,8 +326,8 @@ def page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select p_partkey from part where contains(lower(p_name), 'a1') or contains(lower(p_brand || ' ' || p_type), '#2')")
 def search_name_or_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part").withColumn("tags", F.array("p_brand", "p_type"))
-    named = part.where(X.contains_text("p_name", "A1") | X.contains_text(F.array_join("tags", " "), "#2"))
-    return named.select("p_partkey")
+    found = [L.search_any(part, "A1", F.col("p_name")), L.search_any(part, "#2", F.array_join("tags", " "))]
+    return found[0].select("p_partkey").union(found[1].select("p_partkey")).distinct()
 
 
 @query("select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as p from events) where p = 1")
@@ -379,7 +378,7 @@ def job_rows_split_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select split, count(*) as jobs, count(distinct name) as datasets from (select n_name as name, unnest(['random', 'modulo']) as split from nation) group by split")
 def catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.explode(F.array(F.lit("random"), F.lit("modulo"))).alias("split"))
-    return rows.groupBy("split").agg(F.count("*").alias("jobs"), F.countDistinct("name").alias("datasets"))
+    return L.catalog_counts(rows)
 
 
 # Scalars
@@ -484,7 +483,7 @@ def pls_fit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fitted(spark, sf_dir, fit_pls)
 
 
-@query()
+@query("""select doc_id, coalesce(trim([x for x in string_split(text, chr(10)) if not regexp_matches(x, '^[ \t\x0b\f\r]*(#|>|$)')][1], ' '), '') as overview from documents""")
 def front_matter_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     card = F.concat(F.lit("# Title\n\n> note\n\n"), F.regexp_replace("text", r"\n+", "\n\n"))
     return _table(spark, sf_dir, "documents").select("doc_id", X.overview(card).alias("overview"))

@@ -6,10 +6,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.functions.columns import dataset_label, overview, path_segment
+from evalgrid.functions.columns import dataset_label, names_of, overview, path_segment
+
+from .staging import exists
 
 RECORDS, MEMBERSHIP, FOLDS, PREDICTIONS = "records", "fold_membership", "fold_meta", "predictions"
 SCORE_DOC = (
@@ -19,6 +21,11 @@ SCORE_DOC = (
 CATALOG = "name string, input_filename string, split string, target string"
 
 
+def file_path() -> Column:
+    """The path of a row's file, its characters as they are."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def read_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of a dataset folder: records, and for ``.splits`` folders fold_membership and fold_meta.
 
@@ -29,6 +36,28 @@ def read_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
+def declared_variables(spark: SparkSession, path: str) -> list[str] | None:
+    """The names of the ``variables`` (objects with a name) that a folder's ``manifest.json`` declares; None without one."""
+    file = f"{path.rstrip('/')}/manifest.json"
+    if not exists(spark, file):
+        return None
+    found = spark.read.schema("variables array<struct<name: string>>").option("multiLine", True).json(file)
+    return list(found.select(F.coalesce(names_of("variables"), F.array().cast("array<string>"))).first()[0])
+
+
+def read_fold_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of all ``fold*/predictions.json`` (one JSON array a file) under a folder, with ``path`` and ``fold``."""
+    df = spark.read.option("multiLine", True).json(f"{folder.rstrip('/')}/fold*/predictions.json")
+    file = file_path()
+    return df.select("*", file.alias("path"), F.regexp_extract(file, r"/fold_?(\d+)/predictions\.json$", 1).try_cast("int").alias("fold"))
+
+
+def read_json_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A JSON file that holds one array of objects, as rows."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
 def is_split(path: str) -> bool:
     return ".splits" in path.rstrip("/").rsplit("/", 1)[-1]
 
@@ -45,14 +74,14 @@ def read_predictions(spark: SparkSession, path: str, model: str | None = None, s
 def read_score_docs(spark: SparkSession, path: str) -> DataFrame:
     """Metric documents (JSON, one a file; bare NaN allowed) with their path and fold."""
     df = spark.read.schema(SCORE_DOC).option("multiLine", True).option("allowNonNumericNumbers", True).json(path)
-    file = F.col("_metadata.file_path")
+    file = file_path()
     return df.select("*", file.alias("path"), F.regexp_extract(file, r"fold_?(\d+)[^/]*$", 1).try_cast("int").alias("fold_of_file"))
 
 
 def read_aggregates(spark: SparkSession, folder: str) -> DataFrame:
-    """``*_aggregated.json`` documents, by path; those without metadata are left out."""
+    """``*_aggregated.json`` documents with their path, which orders them; those without metadata are left out."""
     df = spark.read.schema(SCORE_DOC).option("multiLine", True).option("allowNonNumericNumbers", True).option("pathGlobFilter", "*_aggregated.json").json(folder)
-    return df.select("*", F.col("_metadata.file_path").alias("path")).where(F.col("metadata").isNotNull()).orderBy("path")
+    return df.select("*", file_path().alias("path")).where(F.col("metadata").isNotNull())
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -74,7 +103,7 @@ def read_slugs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
     """Markdown with front matter: slug, name, tags, hyper_parameters (JSON texts), overview, content; broken cards are left out."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    text = spark.read.text(path, wholetext=True).select(file_path().alias("path"), "value")
     parts = text.select("path", F.regexp_extract("value", r"(?s)^---\s*\n(.*?)\n---\s*\n?(.*)$", 1).alias("front"), F.regexp_extract("value", r"(?s)^---\s*\n(.*?)\n---\s*\n?(.*)$", 2).alias("content"))
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,7 +127,7 @@ def read_cards(spark: SparkSession, path: str) -> DataFrame:
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """TOML files as (slug, data JSON); those that can't be parsed are left out."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    text = spark.read.text(path, wholetext=True).select(file_path().alias("path"), "value")
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tomllib

@@ -3,27 +3,40 @@
 from __future__ import annotations
 
 import json
-import os
 import shutil
 import uuid
+from collections.abc import Mapping
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from evalgrid.functions.columns import named
 from evalgrid.operators.aggregate import KEYS
 from evalgrid.operators.leaderboard import upsert
 
 from .readers import read_csv
+from .staging import exists, move_single_part, write_text
 
 
-def write_document(doc: dict, path: str | Path) -> Path:
-    """A small JSON document, null and NaN kept apart; folders are made."""
+def write_document(doc: dict, path: str | Path, spark: SparkSession | None = None) -> Path | str:
+    """A small JSON document, null and NaN kept apart; folders are made.
+
+    With ``spark`` on the path's own file system, else on the driver's.
+    """
+    if spark is not None:
+        return _local(write_text(spark, str(path), json.dumps(doc, indent=2)))
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(json.dumps(doc, indent=2))
     return path
 
 
+def _local(path: str) -> Path | str:
+    """A Path where the file system is the driver's own."""
+    return path if ":/" in path else Path(path)
+
+
 def failure_document(message: str, metrics: list[str]) -> dict:
     return {"error": message, "status": "failed", **dict.fromkeys(metrics)}
 
@@ -46,25 +59,58 @@ def combine_predictions(frames: list[DataFrame], path: str) -> None:
     out.write.mode("overwrite").json(path)
 
 
-def write_csv(df: DataFrame, path: str | Path) -> Path:
-    """One CSV file with a header, for tables of a leaderboard's size; written aside, then moved."""
-    path = Path(path)
-    aside = path.parent / f".{path.name}-{uuid.uuid4().hex}"
-    path.parent.mkdir(parents=True, exist_ok=True)
-    df.coalesce(1).write.option("header", True).csv(f"file://{aside.resolve()}")
-    part = next(p for p in aside.iterdir() if p.name.startswith("part-"))
-    os.replace(part, path)
-    shutil.rmtree(aside)
-    return path
-
+def write_csv(df: DataFrame, path: str | Path) -> Path | str:
+    """One CSV file with a header, for tables of a leaderboard's size.
+
+    Written beside its place on the file system of ``path``, then moved there.
+    """
+    path = str(path)
+    folder, name = path.rsplit("/", 1) if "/" in path else (".", path)
+    aside = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    df.coalesce(1).write.option("header", True).csv(aside)
+    move_single_part(df.sparkSession, aside, path)
+    return _local(path)
+
+
+def upsert_csv(spark: SparkSession, new: DataFrame, path: str | Path, keys: tuple[str, ...] = KEYS, order: str | None = None) -> Path | str:
+    """New rows merged into a leaderboard file by its keys; the file may not exist yet.
+
+    Of new rows of one key the one of the highest ``order`` stays; that column is not written.
+    """
+    path = str(path)
+    if not exists(spark, path):
+        merged = upsert(new.limit(0), new, keys, order)
+    else:
+        kinds = dict(new.dtypes)
+        existing = read_csv(spark, path)
+        existing = existing.select(*[named(c) if c in keys else named(c).try_cast(kinds.get(c, "double")).alias(c) for c in existing.columns])
+        if order:
+            existing = existing.withColumn(order, F.lit(None).cast(kinds[order]))
+        merged = upsert(existing, new, keys, order)
+    return write_csv(merged.drop(order) if order else merged, path)
+
+
+def write_table_csv(df: DataFrame, path: str) -> None:
+    """A table of any size as a folder of CSV files with headers, as models are trained from."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_catalogs(jobs: DataFrame, folder: str | Path, manifests: Mapping[str, Path] | None = None, spark: SparkSession | None = None) -> dict[str, int]:
+    """The catalog documents of a site: ``datasets-list.json`` and ``<kind>/datasets.json`` for each kind of benchmark.
+
+    ``jobs``: (name, input_filename, split, target, kinds array), a row a job. Manifests that
+    exist are copied to ``static/datasets/<name>.lock``. Returns the counts of datasets, splits and targets.
+    """
+    rows = jobs.orderBy("name", "split", "target").collect()  # a catalog: a row a job
+    names = sorted({r["name"] for r in rows})
+    write_document({"datasets": names}, f"{folder}/datasets-list.json", spark)
+    for kind in sorted({k for r in rows for k in r["kinds"]}):
+        mine = [{c: r[c] for c in ("name", "input_filename", "split", "target")} for r in rows if kind in r["kinds"]]
+        write_document({"datasets": mine}, f"{folder}/{kind}/datasets.json", spark)
+    for name, manifest in (manifests or {}).items():
+        if Path(manifest).exists():
+            target = Path(folder) / "static" / "datasets" / f"{name}.lock"
+            target.parent.mkdir(parents=True, exist_ok=True)
+            shutil.copyfile(manifest, target)
+    return {"datasets": len(names), "splits": len({(r["name"], r["split"]) for r in rows}), "targets": len({(r["name"], r["target"]) for r in rows})}
 
-def upsert_csv(spark: SparkSession, new: DataFrame, path: str | Path, keys: tuple[str, ...] = KEYS) -> Path:
-    """New rows merged into a leaderboard file by its keys; the file may not exist yet."""
-    path = Path(path)
-    if not path.exists():
-        return write_csv(upsert(new.limit(0), new, keys), path)
-    kinds = dict(new.dtypes)
-    existing = read_csv(spark, f"file://{path.resolve()}")
-    typed = [c if c in keys else f"`{c}`" for c in existing.columns]
-    existing = existing.selectExpr(*[t if c in keys else f"try_cast({t} as {kinds.get(c, 'double')}) as `{c}`" for c, t in zip(existing.columns, typed, strict=True)])
-    return write_csv(upsert(existing, new, keys), path)

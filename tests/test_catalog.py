@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from evalgrid.plans import catalog
+from evalgrid.plans import catalog, catalog_files  # noqa: F401  (adds its queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")

@@ -229,3 +229,131 @@ def test_cli_ping(capsys):
     from evalgrid.cli import main
 
     assert main(["ping"]) == 0 and capsys.readouterr().out == "pong\n"
+
+
+def test_a_gap_in_one_fold_is_found_though_others_repeat(spark, tmp_path):
+    splits, _, _ = dataset(spark, str(tmp_path))
+    rows = [(i, f"S{i}", float(i)) for i in range(9)] + [(0, "S0", 0.0)]  # S9 of fold 4 lacks, S0 of fold 0 is there twice
+    spark.createDataFrame(rows, "record_idx int, sequence string, t double").write.parquet(str(tmp_path / "gap"))
+    with pytest.raises(ValueError, match=r"Missing 1 prediction\(s\)\."):
+        evaluate(spark, str(tmp_path / "gap"), str(tmp_path / "m.json"), splits, ["spearman"], None, "random", "t", 0)
+    evaluate(spark, str(tmp_path / "gap"), str(tmp_path / "m.json"), splits, ["spearman"], None, "random", "t", 0, ["test"])
+
+
+def test_records_outside_every_fold_need_no_prediction(spark, tmp_path):
+    splits, _, _ = dataset(spark, str(tmp_path))
+    extra = spark.createDataFrame([(99, "extra", 1.0)], "record_idx int, sequence string, t double")
+    extra.write.mode("append").parquet(f"{splits}/records")
+    assert evaluate(spark, str(tmp_path / "pred"), str(tmp_path / "m.json"), splits, ["spearman"], None, "random", "t", 0)
+
+
+def test_declared_variables_must_agree(spark, tmp_path):
+    splits, _, pred = dataset(spark, str(tmp_path))
+    for folder, names in ((splits, ["temp"]), (pred, ["ph"])):
+        with open(f"{folder}/manifest.json", "w") as f:
+            json.dump({"variables": [{"name": n} for n in names]}, f)
+    assert R.declared_variables(spark, splits) == ["temp"] and R.declared_variables(spark, str(tmp_path)) is None
+    with pytest.raises(ValueError, match="Variables differ"):
+        evaluate(spark, pred, str(tmp_path / "m.json"), splits, ["spearman"], None, "random", "t", 0)
+
+
+def test_ranks_by_ranges_equal_those_of_whole_groups(spark):
+    from evalgrid.operators.metrics import score, value_cuts
+
+    df = spark.range(4000).selectExpr("id as row_id", "id % 3 as g", "case when id % 50 = 0 then null else cast(pmod(hash(id), 700) as double) end as y", "case when id % 2 = 0 then 5.0 else cast(pmod(hash(id, 1), 90) as double) end as yhat", "20 as top_k")
+    df = df.withColumn("y", F.when(F.col("g") == 0, F.coalesce("y", F.lit(1.0))).otherwise(F.col("y")))
+    cuts = {c: value_cuts(df, c) for c in ("y", "yhat")}
+    assert len(cuts["y"]) > 20
+    a = score(df, ["spearman", "recovery"], ["g"]).orderBy("g").collect()
+    b = score(df, ["spearman", "recovery"], ["g"], cuts=cuts).orderBy("g").collect()
+    assert [r["n"] for r in a] == [r["n"] for r in b] and [r["recovery"] for r in a] == [r["recovery"] for r in b]
+    assert all(math.isnan(x["spearman"]) and math.isnan(y["spearman"]) or abs(x["spearman"] - y["spearman"]) < 1e-12 for x, y in zip(a, b, strict=True))
+
+
+def test_global_rank_keeps_nulls(spark):
+    from evalgrid.operators.metrics import average_rank, global_average_rank
+
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([2.0, None, 1.0, math.nan, None, 2.0])], "i int, v double")
+    expected = {r["i"]: r["rank"] for r in average_rank(df, "v").collect()}
+    assert {r["i"]: r["rank"] for r in global_average_rank(df, "v").collect()} == expected and len(expected) == 6
+
+
+def test_row_numbers_of_millions(spark):
+    df = spark.range(0, 2_000_000, 1, 7).selectExpr("pmod(id * 1103515245, 4294967291) as k")
+    stats = row_numbered(df, "k").agg(F.count("*").alias("n"), F.countDistinct("embedding_index").alias("d"), F.max("embedding_index").alias("m"), F.min("embedding_index").alias("l")).first()
+    assert tuple(stats) == (2_000_000, 2_000_000, 1_999_999, 0)
+
+
+def test_last_of_repeated_new_keys_stays(spark, tmp_path):
+    for i in (1, 2, 3):
+        S.write_document({"metadata": {"model": "m", "dataset": "d", "split": "s", "target": "t"}, "test": {"rho": float(i)}}, tmp_path / f"docs/{i}_aggregated.json")
+    csv = publish(spark, str(tmp_path / "docs"), str(tmp_path / "board.csv"), "g")
+    rows = R.read_csv(spark, str(csv)).collect()
+    assert [float(r["test_rho"]) for r in rows] == [3.0] and "path" not in rows[0].asDict()
+
+
+def test_linear_models_with_many_features(spark, monkeypatch):
+    from evalgrid.models import linear
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 12))
+    y = x @ rng.standard_normal(12) + 0.1 * rng.standard_normal(60)
+    df = spark.createDataFrame([(r.tolist(), float(t)) for r, t in zip(x, y, strict=True)], "x array<double>, y double").repartition(3)
+    dense = [fit(df, "x", "y") for fit in (fit_ridge, fit_pls)]
+    monkeypatch.setattr(linear, "DENSE", 0)
+    monkeypatch.setattr(linear, "SPAN", 5)
+    for a, b in zip(dense, (fit_ridge(df, "x", "y"), fit_pls(df, "x", "y")), strict=True):
+        assert np.allclose(a.coefficients, b.coefficients, atol=1e-8) and abs(a.intercept - b.intercept) < 1e-8
+    centred = x - x.mean(axis=0)
+    assert np.allclose(dense[0].coefficients, np.linalg.solve(centred.T @ centred + np.eye(12), centred.T @ (y - y.mean())))
+
+
+def test_model_command_writes_predictions(spark, tmp_path):
+    from evalgrid.plans.evaluate import card_settings, datasets_list, train
+
+    letters = "ACDEFGHIKL"
+    records = spark.createDataFrame([(i, letters[i] + "A", float(i)) for i in range(10)], "record_idx int, sequence string, t double")
+    member = spark.createDataFrame([("random", i // 2, 0, i) for i in range(10)], "split string, fold int, assay_idx int, record_idx int")
+    S.write_dataset(str(tmp_path / "D.splits"), records, member, spark.createDataFrame([("random", 0, {})], "split string, fold int, metadata map<string,string>"))
+    card = tmp_path / "card.md"
+    card.write_text("---\nname: pls\nhyper_parameters:\n  n_components: 1\n  other: 5\n---\ntext\n")
+    assert card_settings(spark, str(card), "pls") == {"components": 1}
+    for model in ("pls", "ridge"):
+        rows = spark.read.parquet(train(spark, str(tmp_path / "D.splits"), str(tmp_path / model), model, "random", "t", 0)).collect()
+        assert len(rows) == 10 and sum(r["split"] == "test" for r in rows) == 2 and all(np.isfinite(r["t"]) for r in rows)
+    with pytest.raises(ValueError, match="unknown model"):
+        train(spark, str(tmp_path / "D.splits"), str(tmp_path / "x"), "other", "random", "t", 0)
+    (tmp_path / "list.csv").write_text("name,input_filename,splits,targets,kinds\na,a.splits,random modulo,t u,supervised\nb,b.splits,random,t,supervised zero_shot\n")
+    (tmp_path / "locks/a").mkdir(parents=True)
+    (tmp_path / "locks/a/manifest.lock").write_text("locked")
+    counts = datasets_list(spark, str(tmp_path / "list.csv"), str(tmp_path / "site"), str(tmp_path / "locks"))
+    assert counts == {"datasets": 2, "splits": 3, "targets": 3}
+    assert len(json.loads((tmp_path / "site/supervised/datasets.json").read_text())["datasets"]) == 5
+    assert (tmp_path / "site/static/datasets/a.lock").read_text() == "locked" and not (tmp_path / "site/static/datasets/b.lock").exists()
+
+
+def test_no_wild_type_is_an_error(spark):
+    from evalgrid.models.marginal import wild_type
+
+    df = spark.createDataFrame([(1, "AAA", "MUTANT"), (3, "CCC", "WILD_TYPE"), (2, "AAC", "WILD_TYPE")], "record_idx int, sequence string, type string")
+    assert wild_type(df) == "AAC"
+    with pytest.raises(ValueError, match="no wild type"):
+        wild_type(df.where("type = 'MUTANT'"))
+
+
+def test_embeddings_are_made_once(spark, tmp_path):
+    from evalgrid.models.features import Embedder, cached_embeddings
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.createDataFrame([("a", 1, [1.0]), ("a", 2, [3.0]), ("b", 1, [5.0])], "sequence string, pos int, embedding array<double>")
+
+    for _ in range(2):
+        tokens = cached_embeddings(spark, str(tmp_path / "cache"), make)
+    assert len(made) == 1
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "sequence string")
+    assert {r["sequence"]: r["features"] for r in Embedder("mean").fit(tokens).transform(df).collect()} == {"a": [2.0], "b": [5.0]}
+    with pytest.raises(ValueError, match="unknown pooling"):
+        Embedder("max").fit(tokens)
