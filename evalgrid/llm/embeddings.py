@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,9 +120,11 @@ def _directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for batch in batches:
         raw, dims = [], []
-        for v in batch.column(2).to_pylist():
-            x = np.asarray(v, np.float64) if v and None not in v else np.zeros(0)
-            ok = x.size and np.isfinite(x).all() and x.any()
+        lists = batch.column(2)
+        values = lists.values.to_numpy(zero_copy_only=False)  # null components are NaN
+        for begin, size in zip(lists.offsets[:-1].to_pylist(), pc.fill_null(pc.list_value_length(lists), 0).to_pylist(), strict=True):
+            x = values[begin : begin + size]
+            ok = size and np.isfinite(x).all() and x.any()
             short = x.astype(np.float32) if ok and np.abs(x).max() < 1e30 and np.abs(x[x != 0]).min() > 1e-30 else None
             exact = short is not None and (short == x).all()
             x = x + 0.0  # one zero
@@ -244,7 +247,7 @@ def near_duplicate_vectors(spark: SparkSession, vectors: DataFrame, threshold: f
     are linked rows of their own; a null vec_id keeps its row and never names a component. An empty
     table gives no rows; other columns are not read.
 
-    Equal directions are one node. A pair is found if both vectors pass one filter, which misses
+    Equal vectors are one node. A pair is found if both vectors pass one filter, which misses
     few pairs at the threshold and hardly any above it: codes are added until RECALL of made pairs
     at the threshold share a filter. Filters grow in number with the vectors of their own label, so
     that each holds BUCKET vectors at most on average; larger ones,
@@ -272,11 +275,11 @@ def near_duplicate_vectors(spark: SparkSession, vectors: DataFrame, threshold: f
     scratch.drop(passed, held)
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
-    labels = nodes.join(roots, "node", "left").join(counts, "node", "left").select("label", "vector", "least", "n", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    labels = nodes.join(roots, "node", "left").join(counts, "node", "left").select("label", "vector", "dim", "least", "n", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     labels = scratch.write(labels)
     labels = labels.join(scratch.write(labels.groupBy("root").agg(F.min("least").alias("component"))), "root")
-    labels = scratch.write(labels.select("label", "vector", (F.col("links") + F.col("n") - 1).alias("n_links"), "component"))
-    out = rows.join(labels, ["label", "vector"], "left").select(
+    labels = scratch.write(labels.select("label", "vector", "dim", (F.col("links") + F.col("n") - 1).alias("n_links"), "component"))
+    out = rows.join(labels, ["label", "vector", "dim"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component")).alias("component_id")
     )
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -122,33 +122,34 @@ class LineIndex:
 
 
 def repeated_lines(docs: DataFrame, least_length: int, least_docs: int) -> DataFrame:
-    """(h1, h2, n, holder): keys in ``least_docs`` rows or more, and the largest doc_id that has each."""
+    """(h1, h2, n, holder): keys of ``least_docs`` distinct doc_ids or more, and the largest doc_id that has each.
+
+    Distinct pairs of key and doc_id are counted first, spread over all tasks; a key that very many
+    documents share then comes as one partial count from each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[bytes, list[int]] = {}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                doc = _NO_ID if doc is None else doc
-                for key in {k for k in _keys(text, least_length) if k}:
-                    at = seen.setdefault(key, [0, _NO_ID])
-                    at[0] += 1
-                    at[1] = max(at[1], doc)
-            if seen:
-                h1, h2 = _halves(list(seen))
-                n, holder = np.array(list(seen.values()), np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, n, holder)], ["h1", "h2", "n", "holder"])
-
-    found = docs.mapInArrow(run, "h1 long, h2 long, n long, holder long")
-    return found.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("holder").alias("holder")).where(F.col("n") >= least_docs)
+            for part in slices(batch):
+                keys, of = [], []
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    mine = {k for k in _keys(text, least_length) if k}
+                    keys += mine
+                    of += [_NO_ID if doc is None else doc] * len(mine)
+                h1, h2 = _halves(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(of, pa.int64())], ["h1", "h2", "doc"])
+
+    found = docs.mapInArrow(run, "h1 long, h2 long, doc long")
+    return found.groupBy("h1", "h2").agg(F.countDistinct("doc").alias("n"), F.max("doc").alias("holder")).where(F.col("n") >= least_docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, least_length: int = 20, least_docs: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with repeated lines gone from ``text``, and n_lines (before) and n_dropped added.
 
     A key (line stripped of blanks, A-Z lower-cased) of ``least_length`` code points or more in
-    ``least_docs`` rows or more stays only in the largest doc_id that has it. Null and empty texts
-    are one empty line; a null text stays null; a null doc_id ranks below all others; rows that
-    repeat the largest doc_id all keep the line. Input columns named n_lines or n_dropped give way
+    ``least_docs`` distinct doc_ids or more stays only in the largest doc_id that has it. Null and
+    empty texts are one empty line; a null text stays null; null counts as one doc_id below all
+    others; rows that repeat the largest doc_id all keep the line. Input columns named n_lines or n_dropped give way
     to the new ones. An empty table gives no rows.
 
     Keys that repeat go into shards of SHARD_KEYS; each shard is a minimal perfect hash with an

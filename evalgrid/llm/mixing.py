@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,8 @@ from .text import Words, byte_table, slices
 
 #: About so many labelled rows train the classifier; word hashes fall into so many buckets.
 SAMPLE, BUCKETS = 20_000, 1 << 14
-#: Pull of each rate towards 1, steps at most, and the change of all totals at which they end.
-PULL, STEPS, SETTLED = 1e-3, 200, 1e-6
+#: Pull of each rate towards 1, steps at most, the change of all totals at which they end, and steps after which the rates so far are written.
+PULL, STEPS, SETTLED, STORED = 1e-3, 1000, 1e-6, 16
 #: Words whose average evidence a posterior may weigh like so many independent ones.
 EVIDENCE = (1.0, 3.0, 10.0, 30.0, 100.0)
 _ALNUM = byte_table("alnum")
@@ -53,15 +54,21 @@ class DomainModel:
         return x / x.sum(axis=1, keepdims=True)
 
 
-def fit_domains(spark: SparkSession, labelled: DataFrame, text: str = "text", domain: str = "domain", most: int = SAMPLE) -> DomainModel:
-    """A classifier from about ``most`` rows of (text, domain), chosen by a hash of the text; null domains are left out."""
+def fit_domains(spark: SparkSession, labelled: DataFrame, text: str = "text", domain: str = "domain", doc_id: str = "doc_id", most: int = SAMPLE) -> DomainModel:
+    """A classifier from about ``most`` rows of (doc_id, text, domain); null domains are left out.
+
+    Rows are drawn by a hash of doc_id and text, so a much repeated text is drawn in proportion.
+    Labelled rows of which none is drawn are an error.
+    """
     scratch = Scratch(spark, "domains")
-    rows = labelled.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(domain).cast("string").alias("domain")).where("domain is not null")
+    rows = labelled.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(domain).cast("string").alias("domain"), F.col(doc_id).alias("_id")).where("domain is not null")
     n = rows.count()
     if n > most:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * most / n))
-    rows = scratch.write(rows)
+        rows = rows.where(F.pmod(F.xxhash64("_id", "text"), F.lit(1_000_003)) < int(1_000_003 * most / n))
+    rows = scratch.write(rows.drop("_id"))
     sizes = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
+    if n and not sizes:
+        raise ValueError("no labelled row was drawn; raise the bound on rows")
     domains = sorted(sizes)
     place = {d: i for i, d in enumerate(domains)}
 
@@ -109,19 +116,24 @@ def _half(text: str) -> int:
     return xxhash.xxh32_intdigest(text.encode()) & 1
 
 
-def _rates(p: np.ndarray, gaps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _rates(p: np.ndarray, gaps: list[np.ndarray], rate: np.ndarray | None = None, ahead: np.ndarray | None = None, done: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The rates after the steps with these gaps, and the point where the next gap is taken.
 
-    Projected gradient steps of length 1 / (1 + PULL) in the metric of token shares, with momentum.
+    Projected gradient steps of length 1 / (1 + PULL) in the metric of token shares, with momentum;
+    from rates 1, or from the state after ``done`` steps.
     """
-    rate = ahead = np.ones(p.shape[0])
-    for t, gap in enumerate(gaps):
+    if rate is None or ahead is None:
+        rate = ahead = np.ones(p.shape[0])
+    for t, gap in enumerate(gaps, done):
         following = np.maximum(0.0, ahead - (p @ gap + PULL * (ahead - 1)) / (1 + PULL))
         ahead = following + t / (t + 3) * (following - rate)
         rate = following
     return rate, ahead
 
 
+_STATE = ["doc_id", "n", "p", "rate", "ahead"]
+
+
 def mix(spark: SparkSession, docs: DataFrame, model: DomainModel, targets: dict[str, float], text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_tokens, rate, copies, domain) for every row, and the columns ``carry``.
 
@@ -129,8 +141,10 @@ def mix(spark: SparkSession, docs: DataFrame, model: DomainModel, targets: dict[
     gaps between the expected domain totals sum(r n p) and the targets (``targets`` made to sum to
     1, times all tokens), as shares of all tokens, plus PULL / 2 times the token-weighted squares of
     r - 1, which settles rates that the targets leave open. Each step sums K totals over all
-    documents; a rate follows from its posteriors and the K gaps of the steps so far, so nothing
-    else is kept. ``copies``: the rate rounded up or down by a hash of the doc_id, with the rate as
+    documents; a rate follows from its posteriors and the gaps of the steps, and is written every
+    STORED steps, so that a step takes the last few anew at most. Steps that have not settled after
+    STEPS give a warning. ``domain``s are what the labelled table gives (languages in the query) and
+    tokens are words; of equal posteriors the first domain by name is the likeliest. ``copies``: the rate rounded up or down by a hash of the doc_id, with the rate as
     mean. ``domain``: the likeliest. Null and empty texts have 0 tokens and the prior's
     posteriors; domains without labelled rows can't be met and are left out; repeated rows stay;
     an empty table gives no rows; other columns are not read.
@@ -148,31 +162,44 @@ def mix(spark: SparkSession, docs: DataFrame, model: DomainModel, targets: dict[
     def posteriors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, n, p in posteriors_of(batches):
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n.size + 1, dtype=np.int32) * k), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), lists], ["doc_id", "n", "p"])
+            ones = pa.array(np.ones(n.size))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), lists, ones, ones], _STATE)
 
-    soft = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text")).mapInArrow(posteriors, "doc_id long, n long, p array<double>")
+    soft = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text")).mapInArrow(posteriors, "doc_id long, n long, p array<double>, rate double, ahead double")
     soft = scratch.write(soft)
     want = np.array([max(float(targets.get(d, 0.0)), 0.0) for d in model.domains])
     want = want / want.sum() if want.sum() > 0 else want
     gaps: list[np.ndarray] = []
+    stored = 0  # steps that the written state has taken
 
     def memberships(part: pa.RecordBatch) -> np.ndarray:
         return part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, k)
 
-    def totals(history: list[np.ndarray]):
+    def state(part: pa.RecordBatch, steps: list[np.ndarray], done: int) -> tuple[np.ndarray, np.ndarray]:
+        return _rates(memberships(part), steps, part.column(3).to_numpy(), part.column(4).to_numpy(), done)
+
+    def advanced(steps: list[np.ndarray], done: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, state(batch, steps, done))], _STATE)
+
+        return run
+
+    def totals(steps: list[np.ndarray], done: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(k + 1)
             for batch in batches:
                 if batch.num_rows:
                     p, n = memberships(batch), batch.column(1).to_numpy()
-                    sums += np.append((_rates(p, history)[1] * n) @ p, n.sum())
+                    sums += np.append((state(batch, steps, done)[1] * n) @ p, n.sum())
             yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()])], ["sums"])
 
         return run
 
     before = None
     for _ in range(STEPS if k and want.any() else 0):
-        parts = soft.mapInArrow(totals(list(gaps)), "sums array<double>").select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+        parts = soft.mapInArrow(totals(gaps[stored:], stored), "sums array<double>").select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
         sums = np.zeros(k + 1)
         for row in parts:
             sums[row["i"]] = row["v"]
@@ -183,23 +210,30 @@ def mix(spark: SparkSession, docs: DataFrame, model: DomainModel, targets: dict[
             break
         before = now
         gaps.append(now - want)
+        if len(gaps) - stored == STORED:
+            following = scratch.write(soft.mapInArrow(advanced(gaps[stored:], stored), soft.schema))
+            scratch.drop(soft)
+            soft, stored = following, len(gaps)
+    else:
+        if k and want.any():
+            warnings.warn(f"the rates have not settled in {STEPS} steps", stacklevel=2)
 
     names = np.array([*model.domains, None], object)
 
-    def decided(doc: pa.Array, n: pa.Array, p: np.ndarray, more: list[pa.Array]) -> pa.RecordBatch:
+    def decided(doc: pa.Array, n: pa.Array, p: np.ndarray, rates: np.ndarray, more: list[pa.Array]) -> pa.RecordBatch:
         top = p.argmax(axis=1) if k else np.full(p.shape[0], -1)
-        arrays = [doc, n, pa.array(_rates(p, gaps)[0]), pa.array(names[top].tolist(), pa.string()), *more]
+        arrays = [doc, n, pa.array(rates), pa.array(names[top].tolist(), pa.string()), *more]
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "rate", "domain", *(carry if more else ())])
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield decided(batch.column(0), batch.column(1), memberships(batch), [])
+                yield decided(batch.column(0), batch.column(1), memberships(batch), state(batch, gaps[stored:], stored)[0], [])
 
     def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in posteriors_of(batches):
             part, n, p = batch
-            yield decided(part.column(0), pa.array(n.astype(np.int64)), p, part.columns[2:])
+            yield decided(part.column(0), pa.array(n.astype(np.int64)), p, _rates(p, gaps)[0], part.columns[2:])
 
     schema = StructType.fromDDL("doc_id long, n_tokens long, rate double, domain string")
     if carry:  # posteriors anew rather than a join that would move the texts

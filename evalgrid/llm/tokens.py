@@ -54,14 +54,18 @@ def _tokenizers(path: str) -> tuple[Callable[[str], list[str]], Callable[[list[s
     return lambda text: [text], lambda texts: [len(x.ids) for x in model.encode_batch(texts, add_special_tokens=False)]
 
 
+def _bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def _lengths(texts: list[str], cut: Callable, encode: Callable, known: dict[str, int]) -> list[int]:
     parts = [cut(x) for x in texts]
     fresh = list({s for p in parts for s in p if s not in known})
     found, i = {}, 0
     while i < len(fresh):
         j, size = i, 0
-        while j < len(fresh) and (j == i or size + len(fresh[j]) <= CALL_BYTES):
-            size += len(fresh[j])
+        while j < len(fresh) and (j == i or size + _bytes(fresh[j]) <= CALL_BYTES):
+            size += _bytes(fresh[j])
             j += 1
         found.update(zip(fresh[i:j], encode(fresh[i:j]), strict=True))
         i = j
