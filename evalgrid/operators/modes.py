@@ -93,7 +93,7 @@ def score_modes(
             rows = rows.unionByName(whole.select(F.lit("full").alias("_kind"), F.lit(-1).alias("_fold"), "record_idx", *picked))
     cuts = None
     if {"train_available", "full_dataset"} & set(modes):
-        cuts = {"y": value_cuts(truth, target), "yhat": value_cuts(predicted, target)}
+        cuts = value_cuts(y=(truth, target), yhat=(predicted, target))
     if fold_meta is not None:
         limits = fold_meta.select(F.lit("fold").alias("_kind"), F.col("fold").cast("int").alias("_fold"), "top_k")
         rows = rows.join(F.broadcast(limits), list(_GROUP), "left")  # a row a fold

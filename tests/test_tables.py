@@ -262,7 +262,7 @@ def test_ranks_by_ranges_equal_those_of_whole_groups(spark):
 
     df = spark.range(4000).selectExpr("id as row_id", "id % 3 as g", "case when id % 50 = 0 then null else cast(pmod(hash(id), 700) as double) end as y", "case when id % 2 = 0 then 5.0 else cast(pmod(hash(id, 1), 90) as double) end as yhat", "20 as top_k")
     df = df.withColumn("y", F.when(F.col("g") == 0, F.coalesce("y", F.lit(1.0))).otherwise(F.col("y")))
-    cuts = {c: value_cuts(df, c) for c in ("y", "yhat")}
+    cuts = value_cuts(y=(df, "y"), yhat=(df, "yhat"))
     assert len(cuts["y"]) > 20
     a = score(df, ["spearman", "recovery"], ["g"]).orderBy("g").collect()
     b = score(df, ["spearman", "recovery"], ["g"], cuts=cuts).orderBy("g").collect()
