@@ -186,10 +186,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, shingle: int = 5, similari
     scratch.drop(members)
 
     stars = shared.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    one, other = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"), F.col("size").alias(f"size_{c}")) for c in "ab")
+    # Sizes first: a pair of too unlike ones moves no sets.
+    for c in "ab":
+        stars = stars.join(sets.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}")), c)
     alike = (F.col("size_a") >= similarity * F.col("size_b")) & (F.col("size_b") >= similarity * F.col("size_a")) & (F.col("size_a") > 0)
-    stars = stars.join(one, "a").join(other, "b").where(alike).select("a", "b", "set_a", "set_b")
-    near = scratch.write(stars.mapInArrow(_similar(similarity), "a long, b long"))
+    stars = scratch.write(stars.where(alike).select("a", "b"))
+    pairs = stars
+    for c in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")), c)
+    near = scratch.write(pairs.select("a", "b", "set_a", "set_b").mapInArrow(_similar(similarity), "a long, b long"))
 
     roots = connected_components(near, scratch)
     held = shared.join(roots, "node", "left").select("at", "print", "node", F.coalesce("root", "node").alias("root"))
@@ -207,7 +212,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, shingle: int = 5, similari
     cells = cells.withColumns({"low": F.least("block", "next"), "high": F.greatest("block", "next")}).drop("size")
     cells = cells.join(sets, "node").select("node", "root", "home", "shingles", "size", "at", "print", "band", "low", "high")
     more = scratch.write(cells.groupBy("at", "print", "band", "low", "high").applyInArrow(_trees(similarity), "a long, b long"))
-    scratch.drop(sets, shared, held, open_, blocks)
+    scratch.drop(sets, shared, stars, held, open_, blocks)
 
     roots = connected_components(near.unionByName(more), scratch)
     labels = scratch.write(nodes.join(roots, "node", "left").select("d1", "d2", "least", F.coalesce("root", "node").alias("root")))

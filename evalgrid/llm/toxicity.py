@@ -350,16 +350,18 @@ class Cues:
 class Model:
     """Examples grouped by equal words, their index over all words, the cues, and the calibration of the two votes.
 
-    ``known``: sorted hashes of all words of the examples. ``ids``: the least doc_id of each group
+    ``known``: sorted hashes of all words of the examples; those from ``first[i]`` to ``first[i + 1]``
+    of ``term`` are the words of group i, each ``n`` times. ``ids``: the least doc_id of each group
     (-1: null). ``factor``: labelled texts for each example of a class, negative and positive.
     ``cue``: each group's place among those of ``cues``.
     """
 
-    def __init__(self, known: np.ndarray, idf: np.ndarray, vectors: list[np.ndarray], pos: np.ndarray, neg: np.ndarray, ids: np.ndarray, factor: tuple[float, float], cues: Cues, cue: np.ndarray):
+    def __init__(self, known: np.ndarray, idf: np.ndarray, first: np.ndarray, term: np.ndarray, n: np.ndarray, pos: np.ndarray, neg: np.ndarray, ids: np.ndarray, factor: tuple[float, float], cues: Cues, cue: np.ndarray):
         self.known, self.idf, self.pos, self.neg, self.ids, self.factor, self.cues, self.cue = known, idf, pos, neg, ids, factor, cues, cue
-        first = np.concatenate(([0], np.cumsum([len(v) for v in vectors], dtype=np.int64)))
-        flat = np.concatenate([*vectors, np.zeros((0, 2), np.int32)])
-        term, weight = flat[:, 0], self.weigh(first, flat[:, 0], flat[:, 1])
+        weight = np.empty(term.size)
+        for i in range(0, first.size - 1, 512):  # in pieces, to need little beside the result
+            cut = first[i : i + 513]
+            weight[cut[0] : cut[-1]] = self.weigh(cut - cut[0], term[cut[0] : cut[-1]], n[cut[0] : cut[-1]])
         self.index = BlockMaxIndex(first, term, weight, known.size)
         yes, no = pos.sum() * factor[1], neg.sum() * factor[0]
         self.base = float(yes / (yes + no)) if yes + no else 0.5
@@ -538,6 +540,11 @@ def fit(spark: SparkSession, docs: DataFrame, examples: DataFrame, text: str = "
     # Texts of equal words have equal cues.
     grouped = chosen.mapInArrow(vectors, "words binary, vector string, label int, doc_id long").groupBy("words", "vector").agg(F.sum("label").alias("pos"), F.count("*").alias("n"), F.coalesce(F.min("doc_id"), F.lit(-1)).alias("id")).toArrow()
     grouped = grouped.sort_by([("words", "ascending")])
+    flat = grouped.column("words").cast(pa.large_binary()).combine_chunks()
+    flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
+    _, cuts, raw = flat.buffers()
+    cuts = np.frombuffer(cuts, np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+    flat = np.frombuffer(raw, "<i4")[cuts[0] // 4 : cuts[-1] // 4].reshape(-1, 2) if raw is not None else np.zeros((0, 2), np.int32)
     ids = grouped.column("id").to_numpy()
     pos = grouped.column("pos").to_numpy().astype(float)
     neg = grouped.column("n").to_numpy() - pos
@@ -546,8 +553,11 @@ def fit(spark: SparkSession, docs: DataFrame, examples: DataFrame, text: str = "
     parsed = [([int(x) for x in v.split(",") if x], p, n) for v, p, n in zip(names.tolist(), *by_cue, strict=True)]
     known = labelled or sizes
     factor = tuple(known.get(y, 0) / max(totals.get(y, 0), 1) for y in (0, 1))
-    words = [np.frombuffer(x, "<i4").reshape(-1, 2) for x in grouped.column("words").to_pylist()]
-    model = Model(every.value, idf[hashes.size + 1 :], words, pos, neg, ids, factor, Cues(vocabulary.value, idf[: hashes.size], parsed, factor), cue)
+    cues = Cues(vocabulary.value, idf[: hashes.size], parsed, factor)
+    size = grouped.num_rows
+    del grouped, df, counted
+    model = Model(every.value, idf[hashes.size + 1 :], (cuts - cuts[0]) // 8, flat[:, 0].copy(), flat[:, 1], pos, neg, ids, factor, cues, cue)
+    del flat, raw
     shared = spark.sparkContext.broadcast(model)
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -555,8 +565,8 @@ def fit(spark: SparkSession, docs: DataFrame, examples: DataFrame, text: str = "
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in shared.value.others(batch.column(0).to_numpy())], ["words", "cues", "has", "y", "w"])
 
-    if grouped.num_rows:
-        votes = spark.range(0, grouped.num_rows, 1, -(-grouped.num_rows // (4 * QUERIES))).mapInArrow(others, "words double, cues double, has double, y double, w double").toArrow()
+    if size:
+        votes = spark.range(0, size, 1, -(-size // (4 * QUERIES))).mapInArrow(others, "words double, cues double, has double, y double, w double").toArrow()
         model.calibrate(*[votes.column(c).to_numpy() for c in ("words", "cues", "has", "y", "w")])
     shared.unpersist()
     every.unpersist()
