@@ -23,7 +23,7 @@ def table(spark, rows, schema, path, name):
 
 @pytest.fixture(scope="module")
 def long_docs(spark, tmp_path_factory):
-    """A text of two megabytes, beyond any slice, with spans, repeated lines and passages, and some short ones."""
+    """A text of over a megabyte and a half, beyond any slice, with spans, repeated lines and passages, and some short ones."""
     rng = random.Random(12)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(4000)]
     passage = " ".join(rng.choice(words) for _ in range(50))
@@ -38,7 +38,7 @@ def long_docs(spark, tmp_path_factory):
             parts += [passage, item]
         parts.append("\na line that three documents share\n" if i % 500 == 0 else "\n")
     long = " ".join(parts)
-    assert len(long) > 1_700_000
+    assert len(long) > 1_600_000
     docs = [(1, long), (2, f"{passage} short\na line that three documents share"), (3, "a line that three documents share\nend"), (4, "x " * 300_000), (5, None)]
     path = str(tmp_path_factory.mktemp("long"))
     table(spark, docs, "doc_id long, text string", path, "documents")
