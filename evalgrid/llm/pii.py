@@ -2,14 +2,17 @@
 
 DataFrame functions only. The trees learn from the documents' own matches of the base patterns,
 those that pass their test and those that fail it, and from made rows of the other writings, which
-no table labels. Spark ML trains them; then they become an SQL expression.
+no table labels. All of them count, as weighted groups of equal features. Spark ML trains them;
+then they become an SQL expression.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -35,8 +38,8 @@ GENERATORS = {
 }
 #: Every match of the e-mail generator holds this: a bracketed at, or " at " with a host and the begin of a dot next.
 GUARD_EMAIL = r"[\[({]\x20?at\x20?[\])}]|\x20at\x20[A-Za-z0-9-]++\x20?(?:\.|[\[({]\x20?dot|(?<=\x20)dot(?=\x20))"
-#: Characters around a candidate that the features see.
-CONTEXT = 32
+#: Characters around a candidate that the features see, and digits of the longest card number.
+CONTEXT, DIGITS = 32, 19
 # Words that speak for or against a kind.
 CUES = {
     "email": r"(?i)\b(e-?mail|mail|contact|write|reach)\b",
@@ -46,9 +49,11 @@ CUES = {
     "against": r"(?i)\b(order|invoice|isbn|issn|serial|version|ver|ref|batch|id|page|pages|no|build|part|date|sku)\b",
 }
 FEATURES = ("length", "digits", "groups", "brackets", "letters", "cue", "against", "luhn", "parts", "last", "known_end", "plus", "marked", *(f"is_{k}" for k in KINDS))
-#: Rows made for training, rows of each kind and label from the documents at most (about), and the
-#: precision that a kind's threshold has to reach on rows held out.
+#: Rows made for training, the weight of all rows of a kind and label from the documents at most (a
+#: made row weighs 1), and the precision that a kind's threshold has to reach on rows held out.
 ROWS, NATURAL, PRECISION = 6_000, 1_000, 0.98
+#: Weights are whole multiples of 1 / UNIT. Bins of a feature with more values than that.
+UNIT, BINS = 10**12, 32
 
 
 def _features(kind: Column, hit: Column, before: Column, after: Column) -> Column:
@@ -62,7 +67,7 @@ def _features(kind: Column, hit: Column, before: Column, after: Column) -> Colum
     known_end = F.rlike(hit, F.lit(r"(?i)(com|org|net|edu|gov|io|de|fr|es|uk|info)$"))
     plus = F.startswith(hit, F.lit("+"))
     marked = F.rlike(hit, F.lit(r"^[A-Za-z0-9%+-]*[0-9._%+-]"))
-    values = [F.length(hit), F.length(number), F.size(groups), F.rlike(hit, F.lit(r"[\[({]")), F.length(F.regexp_replace(hit, "[^A-Za-z]", "")), cue, F.rlike(before, F.lit(CUES["against"])), luhn(number), small, F.length(F.element_at(F.concat(F.array(F.lit("")), groups), -1)), known_end, plus, marked]
+    values = [F.length(hit), F.length(number), F.size(groups), F.rlike(hit, F.lit(r"[\[({]")), F.length(F.regexp_replace(hit, "[^A-Za-z]", "")), cue, F.rlike(before, F.lit(CUES["against"])), (F.length(number) <= DIGITS) & luhn(F.substring(number, 1, DIGITS)), small, F.length(F.element_at(F.concat(F.array(F.lit("")), groups), -1)), known_end, plus, marked]
     values += [kind == k for k in KINDS]
     return F.array(*[F.coalesce(v.cast("int").cast("double") if n not in ("length",) else v.cast("double"), F.lit(0.0)) for n, v in zip(FEATURES, values, strict=True)])
 
@@ -117,56 +122,107 @@ def training_rows(spark: SparkSession, rows: int = ROWS) -> DataFrame:
     return base.select("id", "kind", F.when(F.col("good"), hit).otherwise(miss).alias("hit"), before.alias("before"), F.concat(F.lit(" "), word).alias("after"), F.col("good").cast("double").alias("label"))
 
 
-def natural_rows(spark: SparkSession, texts: DataFrame, most: int = NATURAL) -> DataFrame:
-    """(id, kind, hit, before, after, label): matches of the base patterns in ``_t``; label 1 if they pass their test.
-
-    All texts are searched; of each kind and label about ``most`` matches stay, by a hash.
-    """
-    scratch = Scratch(spark, "natural")
+def natural_rows(texts: DataFrame) -> DataFrame:
+    """(id, kind, hit, before, after, label): every match of the base patterns in ``_t``; label 1 if it passes its test."""
     found = _raw(F.col("_t"), CONTEXT)
     row = lambda k: lambda s: F.struct(F.lit(k).alias("kind"), *[s[c].alias(c) for c in ("hit", "before", "after")], _passes(k)(s).cast("double").alias("label"))
     each = [F.transform(v, row(k)) for k, v in found.items()]
-    written = scratch.write(texts.select(F.explode(F.concat(*each)).alias("r")).select("r.*"))
-    rows = written
-    sizes = {(r["kind"], r["label"]): r["count"] for r in rows.groupBy("kind", "label").count().collect()}
-    share = F.lit(0)
-    for (kind, label), n in sizes.items():
-        share = F.when((F.col("kind") == kind) & (F.col("label") == label), int(1_000_003 * min(1.0, most / n)) + 1).otherwise(share)
-    rows = rows.withColumn("id", F.xxhash64("kind", "hit", "before", "after"))
-    drawn = scratch.write(rows.where(F.pmod("id", F.lit(1_000_003)) < share).select("id", "kind", "hit", "before", "after", "label"))
-    scratch.drop(written)
-    return drawn
+    rows = texts.select(F.explode(F.concat(*each)).alias("r")).select("r.*")
+    return rows.withColumn("id", F.xxhash64("kind", "hit", "before", "after"))
+
+
+def examples(scratch: Scratch, texts: DataFrame, rows: int = ROWS) -> DataFrame:
+    """(kind, label, made, fold, f, n, units): all made rows and all matches in ``_t``, counted by their features.
+
+    ``units``: their weight, in whole UNITs so that sums are the same in any order. A made row weighs
+    1; the matches of a kind and label weigh the same each, NATURAL together, and 1 each at most.
+    """
+    seen = training_rows(scratch.spark, rows).withColumn("made", F.lit(True)).unionByName(natural_rows(texts).withColumn("made", F.lit(False)))
+    fold = F.pmod(F.xxhash64("id", F.lit("held")), F.lit(2)).cast("int").alias("fold")
+    key = ["kind", "label", "made", "fold", "f"]
+    every = scratch.write(seen.select("kind", "label", "made", fold, _features(*[F.col(c) for c in ("kind", "hit", "before", "after")]).alias("f")).groupBy(*key).agg(F.count("*").alias("n")))
+    unit = F.lit(UNIT)
+    for r in every.where(~F.col("made")).groupBy("kind", "label").agg(F.sum("n").alias("n")).collect():
+        unit = F.when(~F.col("made") & (F.col("kind") == r["kind"]) & (F.col("label") == r["label"]), F.lit(max(1, round(UNIT * min(1.0, NATURAL / r["n"]))))).otherwise(unit)
+    return every.withColumn("units", F.col("n") * unit.cast("long"))
+
+
+def _cuts(every: DataFrame) -> list[list[float]]:
+    """For each feature, the places between its values (all, or BINS of equal weight if there are more)."""
+    one = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.get("f", F.lit(i)).alias("v")) for i in range(len(FEATURES))])).alias("x")
+    values = every.select("units", one).groupBy("x.i", "x.v").agg(F.sum("units").alias("units"))
+    whole = Window.partitionBy("i")
+    run = whole.orderBy("v")
+    values = values.select("i", "v", "units", F.lead("v").over(run).alias("next"), F.sum("units").over(run).alias("upto"), F.sum("units").over(whole).alias("total"), F.count("*").over(whole).alias("distinct_values"))
+    kept = (F.col("distinct_values") <= BINS) | F.expr(f"upto * {BINS} div total > (upto - units) * {BINS} div total")
+    cuts: list[list[float]] = [[] for _ in FEATURES]
+    for r in values.where(F.col("next").isNotNull() & kept).orderBy("i", "v").collect():
+        cuts[r["i"]].append((r["v"] + r["next"]) / 2)
+    return cuts
 
 
 def train(spark: SparkSession, texts: DataFrame, rows: int = ROWS) -> tuple[str, dict[str, float]]:
-    """SQL of the probability, over features ``c.f``, and the threshold of each kind."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import array_to_vector
+    """SQL of the probability, over features ``c.f``, and the threshold of each kind.
 
-    every = training_rows(spark, rows).unionByName(natural_rows(spark, texts))
-    every = Scratch(spark, "trees").write(every.withColumn("f", _features(*[F.col(c) for c in ("kind", "hit", "before", "after")])).coalesce(2))
-    held_out = F.pmod(F.xxhash64("id", F.lit("held")), F.lit(2)) == 1
-    model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=12, maxDepth=4, stepSize=0.3, seed=7).fit(every.where(~held_out).withColumn("v", array_to_vector("f")))
-    terms = [f"{w!r}D * ({_tree_sql(t._java_obj.rootNode())})" for w, t in zip(model.treeWeights, model.trees, strict=True)]
-    probability = f"1D / (1D + exp(-2D * ({' + '.join(terms)})))"
-    held = every.where(held_out).select("kind", "label", F.struct("f").alias("c")).select("kind", "label", F.expr(probability).alias("p"))
+    All rows count in both: the trees learn from all of them, and the thresholds hold each row's
+    score by trees of the other fold. Spark ML gets each cut of a feature as a feature of two
+    values, for it draws rows to place the cuts of continuous ones.
+    """
+    scratch = Scratch(spark, "trees")
+    every = examples(scratch, texts, rows)
+    cuts = _cuts(every)
+    columns = [(i, k) for i, places in enumerate(cuts) for k in range(len(places))]
+    beyond = lambda i: F.size(F.filter(F.array(*[F.lit(c) for c in cuts[i]]).cast("array<double>"), lambda c: c < F.get("f", F.lit(i))))
+    binned = every.select("kind", "label", "fold", "units", F.array(*[beyond(i) for i in range(len(FEATURES))]).alias("bins"))
+    binned = binned.groupBy("kind", "label", "fold", "bins").agg(F.sum("units").alias("units"))
+    # Dealt and ordered by their values, so the trees' sums don't depend on the shuffles.
+    binned = scratch.write(binned.repartition(2, "bins").sortWithinPartitions("kind", "label", "fold", "bins"))
+    # Three fits of many small jobs each, side by side.
+    fit = inheritable_thread_target(spark)(lambda rows: _fit(rows, columns))
+    with ThreadPoolExecutor(3) as pool:
+        model, without_0, without_1 = pool.map(fit, (binned, binned.where("fold <> 0"), binned.where("fold <> 1")))
+    within = lambda j: f"c.f[{columns[j][0]}] <= {columns[j][1]}"
+    p = F.when(F.col("fold") == 0, F.expr(_probability(without_0, within))).otherwise(F.expr(_probability(without_1, within))).alias("p")
+    held = binned.withColumn("c", F.struct(F.col("bins").alias("f"))).select("kind", "label", "units", p)
     # From the top score down: the lowest score at which the share of true rows is still high enough.
-    by_score = held.groupBy("kind", F.round("p", 2).alias("p")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy("kind", F.desc("p")).collect()
+    good = F.sum(F.when(F.col("label") == 1, F.col("units")).otherwise(0)).alias("good")
+    by_score = held.groupBy("kind", F.round("p", 2).alias("p")).agg(good, F.sum("units").alias("n")).orderBy("kind", F.desc("p")).collect()
     limits: dict[str, float] = dict.fromkeys(KINDS, 1.1)
-    sums: dict[str, list[float]] = {k: [0, 0] for k in KINDS}
+    sums: dict[str, list[int]] = {k: [0, 0] for k in KINDS}
     for r in by_score:
         s = sums[r["kind"]]
         s[0], s[1] = s[0] + r["good"], s[1] + r["n"]
         if s[0] >= PRECISION * s[1]:
             limits[r["kind"]] = r["p"] - 0.005
+    probability = _probability(model, lambda j: f"c.f[{columns[j][0]}] <= {cuts[columns[j][0]][columns[j][1]]!r}D")
     return probability, {k: max(v, 0.5) for k, v in limits.items()}
 
 
-def _tree_sql(node) -> str:
+def _fit(binned: DataFrame, columns: list[tuple[int, int]]):
+    """Boosted trees over "feature i lies beyond its cut k", for each of ``columns``."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    binary = {"ml_attr": {"attrs": {"binary": [{"idx": j, "name": f"{FEATURES[i]}_{k}"} for j, (i, k) in enumerate(columns)]}, "num_attrs": len(columns)}}
+    values = F.array(*[(F.get("bins", F.lit(i)) > k).cast("double") for i, k in columns])
+    rows = binned.select("label", (F.col("units") / F.lit(UNIT)).alias("weight"), array_to_vector(values).alias("v", metadata=binary))
+    return GBTClassifier(featuresCol="v", labelCol="label", weightCol="weight", maxIter=12, maxDepth=4, stepSize=0.3, seed=7).fit(rows)
+
+
+def _probability(model, within: Callable[[int], str]) -> str:
+    terms = [f"{w!r}D * ({_tree_sql(t._java_obj.rootNode(), within)})" for w, t in zip(model.treeWeights, model.trees, strict=True)]
+    return f"1D / (1D + exp(-2D * ({' + '.join(terms)})))"
+
+
+def _tree_sql(node, within: Callable[[int], str]) -> str:
+    """A tree in SQL; ``within``: the condition under which a column has its first value."""
     if node.getClass().getSimpleName() == "LeafNode":
         return f"{node.prediction()!r}D"
     split = node.split()
-    return f"CASE WHEN c.f[{split.featureIndex()}] <= {split.threshold()!r}D THEN {_tree_sql(node.leftChild())} ELSE {_tree_sql(node.rightChild())} END"
+    left, right = (_tree_sql(n, within) for n in (node.leftChild(), node.rightChild()))
+    if 0.0 not in list(split.leftCategories()):
+        left, right = right, left
+    return f"CASE WHEN {within(split.featureIndex())} THEN {left} ELSE {right} END"
 
 
 def _raw(text: Column, context: int = 0) -> dict[str, Column]:
@@ -233,4 +289,4 @@ def all_spans(base: str = "base", added: str = "added") -> Column:
     return F.array_sort(both)
 
 
-__all__ = ["KINDS", "all_spans", "listed", "natural_rows", "personal_data", "train", "training_rows"]
+__all__ = ["KINDS", "all_spans", "examples", "listed", "natural_rows", "personal_data", "train", "training_rows"]

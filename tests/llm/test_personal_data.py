@@ -32,3 +32,40 @@ def test_email_guard_is_a_necessary_condition(spark):
     df = spark.createDataFrame(docs, "text string")
     matched = df.where(F.rlike("text", F.lit(GENERATORS["email"])))
     assert matched.count() > 300 and matched.where(~F.rlike("text", F.lit(GUARD_EMAIL))).count() == 0
+
+
+def _addresses(spark):
+    """200 texts of 20 addresses each, half of them with a part above 255."""
+    rng = random.Random(11)
+    lines = [f"{rng.choice(['host ', 'the ', 'version ', 'ping ', 'page '])}{rng.randrange(250)}.{rng.randrange(9)}.{rng.randrange(99)}.{rng.randrange(256 if i % 2 else 99) + (0 if i % 2 else rng.choice([256, 900, 4000]))}" for i in range(4_000)]
+    return spark.createDataFrame([(i, "\n".join(lines[20 * i : 20 * i + 20])) for i in range(200)], "doc_id long, _t string")
+
+
+def test_every_match_of_the_documents_is_learned_from(spark):
+    from evalgrid.llm.pii import NATURAL, UNIT, examples
+    from evalgrid.llm.scratch import Scratch
+
+    found = examples(Scratch(spark, "test"), _addresses(spark)).where("not made").groupBy("kind", "label").agg(F.sum("n").alias("n"), F.sum("units").alias("units")).collect()
+    assert {(r["kind"], r["label"], r["n"], r["units"]) for r in found} == {("ip", 0.0, 2_000, NATURAL * UNIT), ("ip", 1.0, 2_000, NATURAL * UNIT)}
+
+
+def test_trees_and_thresholds_are_those_of_the_whole_corpus(spark):
+    from evalgrid.llm.pii import train
+
+    docs = _addresses(spark)
+    # Twice the same matches, so half the weight each: a draw of some would be another one.
+    assert train(spark, docs) == train(spark, docs.unionAll(docs))
+
+
+def test_exported_trees_score_as_the_model(spark):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from evalgrid.llm.pii import UNIT, _fit, _probability
+
+    columns = [(0, 0), (0, 1), (0, 2), (1, 0), (2, 0)]
+    rows = spark.range(400).select((F.xxhash64("id", F.lit("y")) % 3 == 0).cast("double").alias("label"), F.lit(UNIT).alias("units"), F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(n)).cast("int") for i, n in enumerate((4, 2, 2))]).alias("bins"))
+    model = _fit(rows, columns)
+    sql = _probability(model, lambda j: f"c.f[{columns[j][0]}] <= {columns[j][1]}")
+    scored = rows.withColumn("v", array_to_vector(F.array(*[(F.get("bins", F.lit(i)) > k).cast("double") for i, k in columns]))).withColumn("c", F.struct(F.col("bins").alias("f")))
+    both = model.transform(scored).select(F.expr(sql).alias("p"), F.get(vector_to_array("probability"), F.lit(1)).alias("q")).collect()
+    assert len({round(r["p"], 6) for r in both}) > 8 and all(abs(r["p"] - r["q"]) < 1e-12 for r in both)
