@@ -328,6 +328,39 @@ def test_components(spark):
     assert roots == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_components_of_few_edges_take_one_task(spark, monkeypatch, most):
+    from evalgrid.llm import components
+    from evalgrid.llm.scratch import Scratch
+
+    monkeypatch.setattr(components, "ONE_TASK", most)
+    rng = random.Random(8)
+    nodes = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(300)]
+    edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(180)] + [(None, nodes[0]), (nodes[1], nodes[1])]
+    edges += [(i + 1, i) for i in range(100)]
+    scratch = Scratch(spark, "test")
+    found = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5), scratch).collect()}
+    joined = [(a, b) for a, b in edges if a is not None and a != b]
+    assert found == brute.components({x for e in joined for x in e}, joined)
+    assert most == 0 or scratch.written <= 2
+
+
+def test_mixing_steps_shuffle_nothing(spark):
+    from evalgrid.llm.mixing import fit_domains, mix
+
+    rows = [(i, " ".join(random.Random(i).choices("abcd" if i % 3 else "efgh", k=20)), "x" if i % 3 else "y") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    model = fit_domains(spark, docs)
+    spark.sparkContext.setJobGroup("mixing steps", "")
+    try:
+        mix(spark, docs, model, {"x": 0.5, "y": 0.5})
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [len(tracker.getJobInfo(job).stageIds) for job in tracker.getJobIdsForGroup("mixing steps")]
+    assert len(stages) > 2 and max(stages) == 1
+
+
 def test_near_copies(spark, folder):
     from evalgrid.llm.nearcopies import near_copies
 
