@@ -32,6 +32,8 @@ NEIGHBOURS, PRIOR, BLOCK = 15, 1.0, 16
 DENSE, LEADERS, FIRST = 14, 48, 16
 #: Queries at once, and what rounding to single precision may change.
 QUERIES, ROUNDING = 128, 1e-4
+#: Entries of examples' vectors handled at once while tables are made.
+PIECE = 1 << 19
 #: Keys by which near copies among the examples meet.
 SKETCHES = 9
 _ALNUM = byte_table("alnum")
@@ -191,9 +193,23 @@ def _word_counts(words: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key // known.size, key % known.size, n
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in the smallest whole type that holds all of them; fractions as they are."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))) if x.dtype.kind in "iu" else x
+
+
+def _ranges(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``counts[i]`` places from ``begin[i]`` on, for all i in a row."""
+    out = np.repeat(begin - (np.cumsum(counts) - counts), counts)
+    out += np.arange(out.size)
+    return out
+
+
 class BlockMaxIndex:
-    """Unit vectors of examples: those from ``first[i]`` to ``first[i + 1]`` of ``term`` and ``weight`` are of example i.
+    """Vectors of examples: those from ``first[i]`` to ``first[i + 1]`` of ``term`` and ``number`` are of example i.
 
+    A weight is ``number`` times ``by_term`` of its term times ``by_example`` of its example (1 where
+    not given). So a posting takes a few bytes, and every worker can hold a table of its own.
     Examples alike in the common terms are put next to each other in blocks. Rare terms have
     postings; common ones have the largest weight in each block, and the block's own weights.
     ``nearest`` is exact: a query's rare postings and its block maxima bound the cosines in each
@@ -202,47 +218,86 @@ class BlockMaxIndex:
     rounding; double precision decides.
     """
 
-    def __init__(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int):
-        self.first, self.term, self.weight, self.terms = first, term.astype(np.int32), weight, terms
+    def __init__(self, first: np.ndarray, term: np.ndarray, number: np.ndarray, terms: int, by_term: np.ndarray | None = None, by_example: np.ndarray | None = None):
+        self.terms, self.size = terms, first.size - 1
+        self.by_term = np.ones(terms) if by_term is None else by_term
+        self.by_example = np.ones(self.size) if by_example is None else by_example
         self.read = [0, 0]  # blocks read, and all blocks, over the queries so far
+        self._given: tuple | None = first, _narrow(term), _narrow(number)
         self._made: tuple | None = None
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_made": None}
-
     def _tables(self) -> tuple:
-        """Made where they are used, from the vectors alone."""
+        """Made where they are used, from the vectors alone and in pieces; then they stand for the vectors."""
         if self._made is None:
-            size = self.first.size - 1
-            row = np.repeat(np.arange(size), np.diff(self.first))
-            common = np.flatnonzero(np.bincount(self.term, minlength=self.terms) * DENSE >= max(size, 1))
+            first, term, number = self._given
+            size, blocks = self.size, max(1, -(-self.size // BLOCK))
+            often = sum((np.bincount(term[low : low + PIECE], minlength=self.terms) for low in range(0, term.size, PIECE)), np.zeros(self.terms, np.int64))
+            common = np.flatnonzero(often * DENSE >= max(size, 1))
             place = np.full(self.terms, -1, np.int32)
             place[common] = np.arange(common.size)
-            at = place[self.term]
-            blocks = max(1, -(-size // BLOCK))
             dense = np.zeros((blocks * BLOCK, common.size), np.float32)
-            often = np.flatnonzero(at >= 0)
-            dense[row[often], at[often]] = self.weight[often]
+            own = np.zeros(size + 1, np.int64)
+            own_at, own_number = np.empty(int(often[common].sum()), np.min_scalar_type(common.size)), np.empty(int(often[common].sum()), number.dtype)
+            row = np.repeat(np.arange(size, dtype=np.min_scalar_type(blocks * BLOCK)), np.diff(first))
+            done = 0
+            for low in range(0, term.size, PIECE):
+                at = place[term[low : low + PIECE]]
+                here = np.flatnonzero(at >= 0)
+                r, at, n = row[low + here], at[here], number[low + here]
+                dense[r, at] = n * self.by_term[common[at]] * self.by_example[r]
+                own_at[done : done + here.size], own_number[done : done + here.size] = at, n
+                own[1:] += np.bincount(r, minlength=size)
+                done += here.size
+            own = np.cumsum(own)
             order = np.arange(size)
             if size > BLOCK:
                 leaders = dense[np.linspace(0, size - 1, min(LEADERS, size)).astype(int)]
                 alike = dense[:size] @ leaders.T
                 order = np.lexsort((-alike.max(axis=1), alike.argmax(axis=1)))
-            spot = np.empty(size, np.int64)
+            spot = np.empty(size, row.dtype)
             spot[order] = np.arange(size)
-            dense[:size] = dense[order]
-            dense = np.ascontiguousarray(dense.reshape(blocks, BLOCK, common.size).transpose(0, 2, 1))  # a line of memory for each block and term
-            rare = np.flatnonzero(at < 0)
-            rare = rare[np.argsort(self.term[rare], kind="stable")]
-            begin = np.searchsorted(self.term[rare], np.arange(self.terms + 1))
-            often = often[np.argsort(spot[row[often]], kind="stable")]
-            own = np.searchsorted(spot[row[often]], np.arange(blocks * BLOCK + 1))
-            self._made = place, order, dense, dense.max(axis=2).T.copy(), spot[row[rare]].astype(np.int32), self.weight[rare], begin, own, at[often], self.weight[often]
+            blocked = np.empty((blocks, common.size, BLOCK), np.float32)  # a line of memory for each block and term
+            for j in range(blocks):
+                mine = order[j * BLOCK : (j + 1) * BLOCK]
+                blocked[j, :, : mine.size], blocked[j, :, mine.size :] = dense[mine].T, 0
+            del dense
+            often[common] = 0
+            begin = np.concatenate(([0], np.cumsum(often)))
+            ids, numbers = np.empty(int(begin[-1]), row.dtype), np.empty(int(begin[-1]), number.dtype)
+            low = 0
+            while low < self.terms:  # terms with about PIECE postings at once
+                high = max(low + 1, int(np.searchsorted(begin, begin[low] + PIECE, side="right")) - 1)
+                here = np.flatnonzero((term >= low) & (term < high))
+                here = here[place[term[here]] < 0]
+                here = here[np.argsort(term[here], kind="stable")]
+                ids[begin[low] : begin[high]], numbers[begin[low] : begin[high]] = spot[row[here]], number[here]
+                low = high
+            scale = np.zeros(blocks * BLOCK)
+            scale[:size] = self.by_example[order]
+            self._made = place, order, spot, common, blocked, blocked.max(axis=2).T.copy(), ids, numbers, begin, own, own_at, own_number, scale
+            self._given = None
         return self._made
 
+    def vectors(self, examples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``first``, ``term`` and weight of different examples."""
+        if self._given is not None:
+            self._tables()
+        _, _, spot, common, _, _, ids, numbers, begin, own, own_at, own_number, _ = self._made
+        where = np.full(spot.size + BLOCK, -1)
+        where[spot[examples]] = np.arange(examples.size)
+        rare = np.concatenate([np.zeros(0, np.int64), *[low + np.flatnonzero(where[ids[low : low + PIECE]] >= 0) for low in range(0, ids.size, PIECE)]])
+        counts = own[examples + 1] - own[examples]
+        often = _ranges(own[examples], counts)
+        row = np.concatenate([where[ids[rare]], np.repeat(np.arange(examples.size), counts)])
+        term = np.concatenate([np.searchsorted(begin, rare, side="right") - 1, common[own_at[often]]])
+        number = np.concatenate([numbers[rare], own_number[often]])
+        by = np.lexsort((term, row))
+        row, term = row[by], term[by]
+        return np.searchsorted(row, np.arange(examples.size + 1)), term, number[by] * self.by_term[term] * self.by_example[examples][row]
+
     def nearest(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query the examples and cosines, best first, ties by example: the k best at least, or all that share a term."""
-        place, order, dense, most, ids, weights, begin, own, own_at, own_weight = self._tables()
+        place, order, _, frequent, dense, most, ids, numbers, begin, own, own_at, own_number, scale = self._tables()
         blocks, size, common = dense.shape[0], dense.shape[0] * BLOCK, dense.shape[1]
         for low in range(0, first.size - 1, QUERIES):
             cut = first[low : low + QUERIES + 1]
@@ -252,16 +307,18 @@ class BlockMaxIndex:
             query = np.zeros((cut.size - 1, common))
             query[row[often], at[often]] = w[often]
             short = query.astype(np.float32)
+            query *= self.by_term[frequent]
+            w = w * self.by_term[t]
             begins, lengths = begin[t], np.where(at < 0, begin[t + 1] - begin[t], 0)
             sums = np.empty((cut.size - 1, size))
             for i in range(cut.size - 1):
                 mine = slice(cut[i] - cut[0], cut[i + 1] - cut[0])
                 length = lengths[mine]
-                from_ = np.repeat(begins[mine] - (np.cumsum(length) - length), length)
-                from_ += np.arange(from_.size)
-                parts = weights[from_]
-                parts *= np.repeat(w[mine], length)
-                sums[i] = np.bincount(ids[from_], weights=parts, minlength=size)
+                from_ = _ranges(begins[mine], length)
+                parts = np.repeat(w[mine], length)
+                parts *= numbers.take(from_)
+                sums[i] = np.bincount(ids.take(from_), weights=parts, minlength=size)
+            sums *= scale
             bounds = sums.reshape(-1, blocks, BLOCK).max(axis=2) + (short @ most + np.float32(ROUNDING))
             least, read = np.zeros(cut.size - 1), np.zeros(bounds.shape, bool)
             whole = sums.reshape(-1, blocks, BLOCK)
@@ -294,10 +351,10 @@ class BlockMaxIndex:
                 flat, mine = np.concatenate([x.ravel() for _, x in found[i]]), np.concatenate([b for b, _ in found[i]])
                 near = np.flatnonzero((flat > 0) & (flat >= least[i]))
                 near = mine[near // BLOCK] * BLOCK + near % BLOCK
+                cosine, near = sums[i, near], order[near]
                 counts = own[near + 1] - own[near]
-                theirs = np.repeat(own[near] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-                cosine = sums[i, near] + np.bincount(np.repeat(np.arange(near.size), counts), weights=own_weight[theirs] * query[i, own_at[theirs]], minlength=near.size)
-                near = order[near]
+                theirs = _ranges(own[near], counts)
+                cosine += np.bincount(np.repeat(np.arange(near.size), counts), weights=own_number[theirs] * query[i, own_at[theirs]], minlength=near.size) * self.by_example[near]
                 best = np.lexsort((near, -cosine))
                 yield near[best], cosine[best]
 
@@ -321,7 +378,8 @@ class Cues:
         self.pos, self.neg = np.array([p for _, p, _ in examples], float), np.array([n for _, _, n in examples], float)
         first = np.concatenate(([0], np.cumsum([v.size for v in self.terms], dtype=np.int64)))
         flat = np.concatenate([np.zeros(0, np.int64), *self.terms])
-        self.index = BlockMaxIndex(first, flat, np.concatenate([np.zeros(0), *map(self.weigh, self.terms)]), vocabulary.size)
+        length = np.array([np.sqrt(idf[v] @ idf[v]) for v in self.terms])
+        self.index = BlockMaxIndex(first, flat, np.ones(flat.size, np.int64), vocabulary.size, idf, np.divide(1, length, out=np.zeros(length.size), where=length > 0))
         none = [i for i, v in enumerate(self.terms) if not v.size]
         pos, neg = self.pos[none].sum() * factor[1], self.neg[none].sum() * factor[0]
         self.base = float((pos + 0.5) / (pos + neg + 1))
@@ -358,11 +416,11 @@ class Model:
 
     def __init__(self, known: np.ndarray, idf: np.ndarray, first: np.ndarray, term: np.ndarray, n: np.ndarray, pos: np.ndarray, neg: np.ndarray, ids: np.ndarray, factor: tuple[float, float], cues: Cues, cue: np.ndarray):
         self.known, self.idf, self.pos, self.neg, self.ids, self.factor, self.cues, self.cue = known, idf, pos, neg, ids, factor, cues, cue
-        weight = np.empty(term.size)
+        length = np.zeros(first.size - 1)
         for i in range(0, first.size - 1, 512):  # in pieces, to need little beside the result
             cut = first[i : i + 513]
-            weight[cut[0] : cut[-1]] = self.weigh(cut - cut[0], term[cut[0] : cut[-1]], n[cut[0] : cut[-1]])
-        self.index = BlockMaxIndex(first, term, weight, known.size)
+            length[i : i + 512] = self.length(cut - cut[0], n[cut[0] : cut[-1]] * idf[term[cut[0] : cut[-1]]])
+        self.index = BlockMaxIndex(first, term, n, known.size, idf, np.divide(1, length, out=np.zeros(length.size), where=length > 0))
         yes, no = pos.sum() * factor[1], neg.sum() * factor[0]
         self.base = float(yes / (yes + no)) if yes + no else 0.5
         self.line = np.array([0.0, 0.5, 0.5, 0.0, 1.0])
@@ -370,8 +428,12 @@ class Model:
     def weigh(self, first: np.ndarray, term: np.ndarray, n: np.ndarray) -> np.ndarray:
         """TF-IDF of unit length: times a word occurs, by its inverse document frequency."""
         w = n * self.idf[term]
+        return w / np.repeat(self.length(first, w), np.diff(first))
+
+    @staticmethod
+    def length(first: np.ndarray, w: np.ndarray) -> np.ndarray:
         row = np.repeat(np.arange(first.size - 1), np.diff(first))
-        return w / np.sqrt(np.bincount(row, weights=w * w, minlength=first.size - 1))[row]
+        return np.sqrt(np.bincount(row, weights=w * w, minlength=first.size - 1))
 
     def votes(self, words: Words) -> Iterator[tuple[float, list[tuple[int, float]]]]:
         """For each text the vote by all words, and the nearest groups with their cosines."""
@@ -382,9 +444,7 @@ class Model:
 
     def others(self, groups: np.ndarray) -> np.ndarray:
         """Columns: both votes that an example of each of the groups gets from all others, whether it has cues, its label, and the labelled texts it stands for."""
-        cut = np.concatenate([np.arange(self.index.first[g], self.index.first[g + 1]) for g in groups])
-        first = np.concatenate(([0], np.cumsum(self.index.first[groups + 1] - self.index.first[groups])))
-        near = self.index.nearest(first, self.index.term[cut], self.index.weight[cut], NEIGHBOURS + 1)
+        near = self.index.nearest(*self.index.vectors(groups), NEIGHBOURS + 1)
         words, queries, but, weights = [], [], [], []
         for g, (found, cosine) in zip(groups.tolist(), near, strict=True):
             for positive, n in ((True, self.pos[g] * self.factor[1]), (False, self.neg[g] * self.factor[0])):

@@ -107,3 +107,42 @@ def test_near_copies_among_the_examples_are_one(spark):
     ids = set(model.ids.tolist())
     assert len([i for i in ids if 1000 <= i < 1040]) < 5 and 2000 in ids and 2001 not in ids
     assert int(model.pos.sum() + model.neg.sum()) == len(model.ids) + 1  # 2000 and 2002 have equal words
+
+
+def test_a_model_takes_few_bytes_in_a_worker():
+    import pickle
+    import tracemalloc
+
+    from evalgrid.llm.toxicity import Cues, Model, Vocabulary
+
+    size, each, terms = 4000, 100, 50_000
+    rng = np.random.default_rng(2)
+    term = (np.arange(each) * (terms // each) + rng.integers(0, terms // each, (size, each))).astype(np.int32).ravel()
+    n, first, half = rng.integers(1, 300, term.size).astype(np.int32), np.arange(size + 1) * each, np.arange(size) % 2.0
+    cues = Cues(Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int32)), np.zeros(0), [([], 1, 1)], (1.0, 1.0))
+    sent = pickle.dumps(Model(np.arange(terms, dtype=np.uint64), np.linspace(1, 9, terms), first, term, n, half, 1 - half, np.arange(size), (1.0, 1.0), cues, np.zeros(size, np.int64)))
+    tracemalloc.start()
+    model = pickle.loads(sent)
+    found = model.others(np.arange(0, size, 500))
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 28 * terms + 10 * term.size  # 25 bytes for a word of an example before
+    assert np.array_equal(pickle.loads(pickle.dumps(model)).others(np.arange(0, size, 500)), found)
+
+
+def test_tables_give_the_vectors_back():
+    from evalgrid.llm.toxicity import BlockMaxIndex
+
+    rng = np.random.default_rng(4)
+    dense = rng.integers(1, 400, (300, 80)) * (rng.random((300, 80)) < np.where(np.arange(80) < 20, 0.5, 0.03))
+    dense[[0, 7, 299]] = 0  # texts without words
+    row, term = np.nonzero(dense)
+    by_term, by_example = rng.random(80), rng.random(300)
+    index = BlockMaxIndex(np.searchsorted(row, np.arange(301)), term, dense[row, term], 80, by_term, by_example)
+    some = rng.permutation(300)[:150]
+    first, t, w = index.vectors(some)
+    again = np.zeros((150, 80))
+    again[np.repeat(np.arange(150), np.diff(first)), t] = w
+    assert np.allclose(again, (dense * by_term * by_example[:, None])[some], rtol=1e-15, atol=0)
+    for (found, cosine), exact in zip(index.nearest(first, t, w, 5), again @ (dense * by_term * by_example[:, None]).T, strict=True):
+        assert np.allclose(cosine[:5], np.sort(exact)[::-1][: min(5, found.size)], rtol=1e-12, atol=0)
